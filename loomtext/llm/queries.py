@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import canonical, leakage, neardup
+from . import canonical, leakage, neardup, subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,15 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p1_shares(spark, sf).select("origin", "rec_id", "subject")
+
+
+def p1_shares(spark: SparkSession, sf: str) -> DataFrame:
+    names = ("documents", "wikipedia", "subject_labels", "subject_areas")
+    return subjects.subject_areas(*(_table(spark, sf, n) for n in names))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     links, members = neardup.near_duplicates(_table(spark, sf, "documents"), shingle=3, similarity=0.5)
     return neardup.duplicate_pairs(links, members)
@@ -37,7 +46,7 @@ def p8_canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_canonical": p8_canonical}
+    return {"p1_found": p1_found, "p1_shares": p1_shares, "p3_found": p3_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_canonical": p8_canonical}
 
 
 def oracle_sql() -> dict[str, str]:

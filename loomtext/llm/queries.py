@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import canonical, leakage, neardup, subjects
+from . import canonical, distinct, frequency, leakage, neardup, packing, subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,34 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.duplicate_pairs(links, members)
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return distinct.top_terms(p4_scores(spark, sf))
+
+
+def p4_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return distinct.characteristic_terms(_table(spark, sf, "inverted_index"), _table(spark, sf, "doc_catalog"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_terms(spark, sf).where("mark is not null").select("term", "mark")
+
+
+def p5_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return frequency.index_frequencies(_table(spark, sf, "inverted_index"), _table(spark, sf, "doc_catalog"))
+
+
+def p5_words(spark: SparkSession, sf: str) -> DataFrame:
+    return frequency.text_frequencies(_table(spark, sf, "documents"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_pack(spark, sf).where("pieces > 1 and piece = 0").select("doc_id")
+
+
+def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_table(spark, sf, "documents"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_leaks(spark, sf).select("doc_id", "item_id")
 
@@ -46,8 +74,54 @@ def p8_canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_shares": p1_shares, "p3_found": p3_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_canonical": p8_canonical}
+    return {"p1_found": p1_found, "p1_shares": p1_shares, "p3_found": p3_found, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_terms": p5_terms, "p5_words": p5_words, "p6_found": p6_found, "p6_pack": p6_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_canonical": p8_canonical}
+
+
+_INDEX = """
+rows AS (
+    SELECT term, doc_id, arg_max(struct_pack(c := term_count), (written_at, coalesce(term_count, -1))) AS v
+    FROM (SELECT lower(trim(term, ' ')) AS term, doc_id, term_count, written_at FROM inverted_index)
+    WHERE term <> '__all_docs__' AND doc_id IS NOT NULL
+    GROUP BY ALL),
+counts AS (
+    SELECT term, CAST(sum(coalesce(v.c, 0)) AS BIGINT) AS occurrences, count(*) AS records
+    FROM rows GROUP BY term),
+size AS (SELECT count(DISTINCT doc_id) AS n FROM doc_catalog)"""
+
+_MARK = "CASE WHEN records < 3 THEN 'rare' WHEN records > 0.2 * n THEN 'common' END"
+
+_SIZED = r"""
+sized AS (
+    SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')) AS size
+    FROM documents)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": r"""
+            WITH words AS (
+                SELECT doc_id, regexp_extract_all(lower(CASE WHEN title IS NULL THEN text ELSE title || ' ' || text END), '[\p{L}\p{N}]+') AS w
+                FROM documents WHERE text IS NOT NULL AND trim(text) <> ''),
+            shingles AS (SELECT DISTINCT doc_id, w[i:i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+            sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+            shared AS (
+                SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k
+                FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL)
+            SELECT doc_a, doc_b FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
+            WHERE k >= 0.5 * (x.n + y.n - k)""",
+        "p4_found": f"""
+            WITH {_INDEX},
+            scored AS (
+                SELECT doc_id, term, round(v.c * ln(n::DOUBLE / records), 6) AS score
+                FROM rows JOIN counts USING (term), size)
+            SELECT doc_id, term FROM scored WHERE score > 0
+            QUALIFY score = max(score) OVER (PARTITION BY doc_id)""",
+        "p5_found": f"WITH {_INDEX} SELECT term, {_MARK} AS mark FROM counts, size WHERE mark IS NOT NULL",
+        "p5_terms": f"WITH {_INDEX} SELECT term, occurrences, records, {_MARK} AS mark FROM counts, size",
+        "p5_words": f"""
+            WITH words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents),
+            counts AS (SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS records FROM words GROUP BY term),
+            size AS (SELECT count(DISTINCT doc_id) AS n FROM documents)
+            SELECT term, occurrences, records, {_MARK} AS mark FROM counts, size""",
+        "p6_found": f"WITH {_SIZED} SELECT doc_id FROM sized WHERE size > 1024",
+    }

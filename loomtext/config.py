@@ -44,10 +44,10 @@ class Optimization(Enum):
     EARLY_STOPPING = "es"
 
 
-#: Parquet writer options of each codec: plain pages; delta and dictionary encodings; DEFLATE.
+#: Parquet writer options of each codec: plain pages; dictionaries with bit-packed run lengths; DEFLATE.
 PARQUET = {
-    Codec.NONE: {"compression": "uncompressed"},
-    Codec.CODE: {"compression": "uncompressed", "parquet.writer.version": "v2"},
+    Codec.NONE: {"compression": "uncompressed", "parquet.enable.dictionary": "false"},
+    Codec.CODE: {"compression": "uncompressed", "parquet.enable.dictionary": "true"},
     Codec.CLIB: {"compression": "gzip"},
 }
 

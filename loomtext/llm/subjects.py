@@ -3,10 +3,12 @@
 A text is the average of its word vectors; a word is its own vector plus the average of
 its character n-gram vectors; each area has an independent logistic output. Training is
 synchronous: every round each partition computes the gradient over its labelled
-documents, the driver sums the gradients and takes one step. As the output is linear in
-the average, a trained model is a table of area scores for each word, which scores every
-sentence of every document in one pass; an area counts for a document by its share of
-the sentences.
+documents, the driver sums the gradients and takes one step. First whole documents are
+the examples; then their sentences, each with the area among its document's labels that
+the first model finds in it, which tells apart the areas of mixed documents. As the
+output is linear in the average, a trained model is a table of area scores for each word,
+which scores every sentence of every document in one pass; an area counts for a document
+by its share of the sentences.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ WORD_SLOTS, GRAM_SLOTS, DIM = 1 << 15, 1 << 15, 16
 GRAMS = (3, 4, 5)
 #: Bounds on the labelled texts used for training: of each stratum (language), and of all.
 PER_STRATUM, MAX_LABELLED = 2000, 8000
+#: Probability below which a sentence counts as one without an area, and above which as one with it.
+NO_AREA_BELOW, SOME_AREA_ABOVE = 0.02, 0.15
+#: Rounds and step size, over documents and then over sentences.
+DOCUMENT_ROUNDS, DOCUMENT_RATE, SENTENCE_ROUNDS, SENTENCE_RATE = 20, 0.1, 30, 0.05
 #: Partitions of the labelled sample, hence gradients gathered in a round.
 TRAIN_PARTITIONS = 8
 
@@ -106,25 +112,60 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def features(texts: list[str], tables) -> dict[str, np.ndarray] | None:
-    """What a gradient needs of some texts, indexed once and used in every round.
+def features(v: Vocabulary, unit: np.ndarray) -> dict[str, np.ndarray]:
+    """What a gradient needs of some examples, indexed once and used in every round.
 
-    Distinct words of each text with their share of its words, by text and (``by_word``) by
-    word; the words' slots and n-grams, and (``by_slot``, ``by_gram``) the orders that bring
-    equal slots and n-grams together.
+    ``unit`` is the example that each word is in, ascending, -1 for none. Distinct words of
+    each example with their share of its words, by example and (``by_word``) by word; the
+    words' slots and n-grams, and (``by_slot``, ``by_gram``) the orders that bring equal slots
+    and n-grams together.
+    """
+    used, each = np.unique(v.each[unit >= 0], return_inverse=True)
+    unit = unit[unit >= 0]
+    many = np.diff(np.append(v.gram_starts, v.grams.size))[used]
+    ends = np.zeros(used.size + 1, np.int64)
+    np.cumsum(many, out=ends[1:])
+    grams = v.grams[np.arange(ends[-1]) + np.repeat(v.gram_starts[used] - ends[:-1], many)]
+    slot = v.slot[used]
+    pair, count = np.unique(unit.astype(np.int64) * max(used.size, 1) + each, return_counts=True)
+    doc, word = pair // max(used.size, 1), pair % max(used.size, 1)
+    f = {"doc": doc, "word": word, "by_word": np.argsort(word, kind="stable"), "slot": slot, "by_slot": np.argsort(slot, kind="stable"), "grams": grams, "gram_ends": ends, "by_gram": np.argsort(grams, kind="stable")}
+    f["gram_word"] = np.repeat(np.arange(used.size), many)[f["by_gram"]]
+    return {k: x.astype(np.int32) for k, x in f.items()} | {"share": (count / np.bincount(unit)[doc]).astype(np.float32)}
+
+
+def document_examples(texts: list[str], y: np.ndarray, tables) -> tuple[dict[str, np.ndarray], np.ndarray] | None:
+    """Whole texts with their labels."""
+    cps, starts = explode(texts)
+    w = words_of(cps, starts, tables)
+    if not w.hashes.size:
+        return None
+    return features(_vocabulary(cps, w, tables), np.repeat(np.arange(len(texts)), np.diff(w.starts))), y
+
+
+def sentence_examples(texts: list[str], y: np.ndarray, m: Model, tables) -> tuple[dict[str, np.ndarray], np.ndarray] | None:
+    """Sentences with the area of their text that the model finds in them.
+
+    Left out are sentences whose likeliest area is not a label of the text, and unclear ones.
     """
     cps, starts = explode(texts)
     w = words_of(cps, starts, tables)
     if not w.hashes.size:
         return None
     v = _vocabulary(cps, w, tables)
-    doc = np.repeat(np.arange(len(texts)), np.diff(w.starts))
-    pair, count = np.unique(doc * np.int64(v.slot.size) + v.each, return_counts=True)
-    doc, word = pair // v.slot.size, pair % v.slot.size
-    ends = np.append(v.gram_starts, v.grams.size)
-    f = {"doc": doc, "word": word, "by_word": np.argsort(word, kind="stable"), "slot": v.slot, "by_slot": np.argsort(v.slot, kind="stable"), "grams": v.grams, "gram_ends": ends, "by_gram": np.argsort(v.grams, kind="stable")}
-    f["gram_word"] = np.repeat(np.arange(v.slot.size), np.diff(ends))[f["by_gram"]]
-    return {k: x.astype(np.int32) for k, x in f.items()} | {"share": (count / np.diff(w.starts)[doc]).astype(np.float32)}
+    z, text, bounds = _sentences(cps, starts, w, v, area_table(m))
+    p = _sigmoid(z)
+    best = p.argmax(axis=1)
+    own = y[text, best] > 0
+    clear = p.max(axis=1)
+    kept = (clear < NO_AREA_BELOW) | (clear > SOME_AREA_ABOVE) & own
+    if not kept.any():
+        return None
+    target = np.zeros((int(kept.sum()), y.shape[1]), np.float32)
+    some = clear[kept] > SOME_AREA_ABOVE
+    target[np.flatnonzero(some), best[kept][some]] = 1
+    unit = np.where(kept, np.cumsum(kept) - 1, -1)
+    return features(v, np.repeat(unit, np.diff(bounds))), target
 
 
 def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,10 +220,16 @@ def sentence_of(cps: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Number of the sentence that each character is in, counted through the chunk.
 
     A sentence ends with a line or text, or with a stop that only closing quotes separate
-    from a blank.
+    from a blank. A full stop after one to three digits marks an ordinal and ends nothing.
     """
     n = cps.size
     stop = np.isin(cps, [ord(c) for c in _STOPS])
+    digit = (cps >= 0x30) & (cps <= 0x39)
+    run = digit.copy()
+    for _ in range(3):
+        run[1:] = run[:-1] & digit[1:]
+        run[:1] = False
+    stop[1:] &= ~((cps[1:] == 0x2E) & digit[:-1] & ~run[:-1])
     closer = np.isin(cps, [ord(c) for c in _CLOSERS])
     blank = np.isin(cps, [0x20, 0x09, 0x0A, 0x0D])
     ended = stop.copy()
@@ -199,19 +246,22 @@ def area_table(m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return m.word @ m.out, m.gram @ m.out, m.bias
 
 
+def _sentences(cps, starts, w, v: Vocabulary, table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Area logits of each sentence that has words, the text each is in, and their bounds in words."""
+    scores = _word_vectors(v, table[0], table[1])
+    sentence = sentence_of(cps, starts)[w.first]
+    bounds = np.append(np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1])), sentence.size)
+    z = _sums(scores[v.each], bounds) / np.diff(bounds)[:, None] + table[2]
+    return z, np.searchsorted(w.starts, bounds[:-1], "right") - 1, bounds
+
+
 def sentence_scores(texts: list[str | None], table, tables) -> tuple[np.ndarray, np.ndarray]:
     """Area logits of each sentence that has words, and the text each is in."""
     cps, starts = explode(texts)
     w = words_of(cps, starts, tables)
     if not w.hashes.size:
         return np.zeros((0, table[2].size), np.float32), np.zeros(0, np.int64)
-    v = _vocabulary(cps, w, tables)
-    scores = _word_vectors(v, table[0], table[1])
-    sentence = sentence_of(cps, starts)[w.first]
-    first = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
-    bounds = np.append(first, sentence.size)
-    z = _sums(scores[v.each], bounds) / np.diff(bounds)[:, None] + table[2]
-    return z, np.searchsorted(w.starts, first, "right") - 1
+    return _sentences(cps, starts, w, _vocabulary(cps, w, tables), table)[:2]
 
 
 def _pack(arrays: dict[str, np.ndarray]) -> bytes:
@@ -236,59 +286,71 @@ def _sample(docs: DataFrame, labels: DataFrame, stratum: str | None, per_stratum
     return texts.join(labels.join(F.broadcast(chosen), "id"), "id")
 
 
-def train(docs: DataFrame, labels: DataFrame, areas: list[str], stratum: str | None = None, rounds: int = 20, rate: float = 0.1, per_stratum: int = PER_STRATUM, at_most: int = MAX_LABELLED) -> Model:
-    """Fit a model on a bounded sample of labelled texts.
-
-    ``docs`` has ``id``, ``text`` and the optional ``stratum`` (its first two letters count),
-    ``labels`` has ``id`` and ``subject``; labels are compared in lower case without blanks
-    around, and repeated, null and unknown ones are left out. Gradients are summed over
-    ``TRAIN_PARTITIONS`` partitions in each round; their number and size don't grow with
-    the data.
-    """
-    spark = docs.sparkSession
-    model = new_model(areas)
-    clean = labels.select("id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(areas) & F.col("id").isNotNull())
-    sample = _sample(docs.where("text is not null and trim(text) <> ''"), clean.groupBy("id").agg(F.sort_array(F.collect_set("subject")).alias("subjects")), stratum, per_stratum, at_most)
-    tables = spark.sparkContext.broadcast((form_tables(), char_tables()))
+def _examples(sample: DataFrame, areas: list[str], model: Model | None) -> DataFrame:
+    """Indexed examples of each partition: documents, or with a model their sentences."""
+    context = sample.sparkSession.sparkContext
+    tables = context.broadcast((form_tables(), char_tables(), model))
     number = {a: i for i, a in enumerate(areas)}
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms, chars = tables.value
+        forms, chars, m = tables.value
         for b in batches:
             texts = canonical_texts(b.column(0).to_pylist(), forms)[0]
             labels = b.column(1).to_pylist()
-            for lo, hi in chunked(texts, 4 * CHUNK_CHARS):
-                f = features(texts[lo:hi], chars)
-                if f:
-                    y = np.zeros((hi - lo, len(areas)), np.float32)
-                    for i, own in enumerate(labels[lo:hi]):
-                        y[i, [number[s] for s in own]] = 1
-                    yield pa.RecordBatch.from_arrays([pa.array([_pack(f | {"y": y})], pa.binary()), pa.array([hi - lo], pa.int64())], ["f", "n"])
-
-    indexed = durable(sample.select("text", "subjects").repartition(TRAIN_PARTITIONS, "text").mapInArrow(index, "f binary, n long"), "features")
-    n = indexed.agg(F.sum("n")).first()[0]
+            for lo, hi in chunked(texts, 2 * CHUNK_CHARS):
+                y = np.zeros((hi - lo, len(areas)), np.float32)
+                for i, own in enumerate(labels[lo:hi]):
+                    y[i, [number[s] for s in own]] = 1
+                found = sentence_examples(texts[lo:hi], y, m, chars) if m else document_examples(texts[lo:hi], y, chars)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([_pack(found[0] | {"y": found[1]})], pa.binary()), pa.array([len(found[1])], pa.int64())], ["f", "n"])
+
+    return durable(sample.mapInArrow(index, "f binary, n long"), "examples")
+
+
+def _fit(examples: DataFrame, model: Model, rounds: int, rate: float) -> None:
+    """Synchronous steps; each round gathers one gradient from each block of examples."""
+    context = examples.sparkSession.sparkContext
+    n = examples.agg(F.sum("n")).first()[0]
     if not n:
-        return model
+        return
     adam = Adam(model, rate)
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(model)
+        sent = context.broadcast(model)
 
         def push(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for data in b.column(0).to_pylist():
                     f = _unpack(data)
-                    (word, gram), out, bias, loss = gradient(f, f.pop("y"), sent.value)
+                    (word, gram), out, bias, _ = gradient(f, f.pop("y"), sent.value)
                     yield pa.RecordBatch.from_arrays([pa.array([_pack({"wr": word[0], "w": word[1], "gr": gram[0], "g": gram[1], "out": out, "bias": bias})], pa.binary())], ["g"])
 
         total = [np.zeros_like(a) for a in model.arrays()]
-        for row in indexed.select("f").mapInArrow(push, "g binary").collect():
+        for row in examples.select("f").mapInArrow(push, "g binary").collect():
             g = _unpack(row[0])
             total[0][g["wr"]] += g["w"]
             total[1][g["gr"]] += g["g"]
             total[2] += g["out"]
             total[3] += g["bias"]
         adam.step(model, [g / n for g in total])
-        sent.unpersist()
+        sent.destroy()
+
+
+def train(docs: DataFrame, labels: DataFrame, areas: list[str], stratum: str | None = None, per_stratum: int = PER_STRATUM, at_most: int = MAX_LABELLED) -> Model:
+    """Fit a model on a bounded sample of labelled texts.
+
+    ``docs`` has ``id``, ``text`` and the optional ``stratum`` (its first two letters count),
+    ``labels`` has ``id`` and ``subject``; labels are compared in lower case without blanks
+    around, and repeated, null and unknown ones are left out. Gradients are summed over the
+    blocks of ``TRAIN_PARTITIONS`` partitions; their number and size don't grow with the data.
+    """
+    model = new_model(areas)
+    clean = labels.select("id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(areas) & F.col("id").isNotNull())
+    known = clean.groupBy("id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
+    sample = _sample(docs.where("text is not null and trim(text) <> ''"), known, stratum, per_stratum, at_most)
+    sample = durable(sample.select("text", "subjects").repartition(TRAIN_PARTITIONS, "text"), "sample")
+    _fit(_examples(sample, areas, None), model, DOCUMENT_ROUNDS, DOCUMENT_RATE)
+    _fit(_examples(sample, areas, model), model, SENTENCE_ROUNDS, SENTENCE_RATE)
     return model
 
 

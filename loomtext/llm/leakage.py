@@ -20,13 +20,14 @@ from ..durable import durable
 from .canonical import canonical_texts, form_tables
 from .codepoints import char_tables, chunked, explode, grams_of, words_of
 
-#: Rows of a side that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows, and characters of text, of a side that may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_CHARS = 1_000_000, 32_000_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, a durable table, with a broadcast hint if it is proven to be small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, text: str | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to be small, its ``text`` too."""
+    rows, chars = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(text)), F.lit(0)) if text else F.lit(0)).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS else df
 
 
 def _selected(grams: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
@@ -93,7 +94,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     # a passage lies on few diagonals; those of one document and item are bounded by their lengths
     grouped = hits.groupBy("d", "i").agg(F.collect_set("shift").alias("shifts"))
     texts = docs.join(small(hits.select("d").distinct()), "d", "left_semi")
-    pairs = grouped.join(texts, "d").join(small(items), "i")
+    pairs = grouped.join(texts, "d").join(small(items, "item_text"), "i")
     context = docs.sparkSession.sparkContext
     tables = context.broadcast((form_tables(), char_tables()))
     schema = T.StructType([T.StructField("d", docs.schema["d"].dataType), T.StructField("i", items.schema["i"].dataType), *(T.StructField(c, T.IntegerType()) for c in ("words", "doc_word", "item_word"))])

@@ -208,3 +208,38 @@ def duplicate_pairs(links: DataFrame, members: DataFrame, key: str = "doc_id") -
     several = members.join(shared, "class_id")
     inside = several.select("class_id", F.col(key).alias("x")).join(several.select("class_id", F.col(key).alias("y")), "class_id").where("x < y").select("x", "y")
     return across.unionByName(inside).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
+
+
+def components(links: DataFrame, a: str = "class_a", b: str = "class_b") -> DataFrame:
+    """``node`` and ``component``, its least node, of all nodes that have a link.
+
+    Each round every node points its larger neighbours, then its smaller ones, to the least
+    neighbour it knows. Rounds use joins and minima only, so a hub never gathers its
+    neighbours in one task; each round is a durable table.
+    """
+    edges = durable(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = durable(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if state == before:
+            break
+        before = state
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def groups(links: DataFrame, members: DataFrame, key: str = "doc_id") -> DataFrame:
+    """One row for each record: ``key``, its ``class_id``, its ``group_id`` and ``links``.
+
+    Records are of one group if a chain of links connects them; a group is named by its least
+    class. ``links`` counts the other classes that the record's class is similar to.
+    """
+    degree = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    named = components(links).select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
+    out = members.join(named, "class_id", "left").join(degree, "class_id", "left")
+    return out.select(key, "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

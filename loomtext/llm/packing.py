@@ -8,6 +8,7 @@ What partitions leave open is packed once more, group by group, as whole units.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,6 +34,7 @@ def vocabulary_tokens(path: str) -> Callable[[Column], Column]:
     @F.arrow_udf(T.IntegerType())
     def count(texts: pa.Array) -> pa.Array:
         if "t" not in held:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
 
             held["t"] = Tokenizer.from_file(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.duplicate_pairs(links, members)
 
 
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    links, members = neardup.near_duplicates(_table(spark, sf, "documents"))
+    return neardup.groups(links, members)
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return distinct.top_terms(p4_scores(spark, sf))
 
@@ -57,6 +63,12 @@ def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"))
 
 
+def p6_vocabulary_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Sizes in tokens of a public vocabulary, whose folder LOOMTEXT_TOKENIZERS names."""
+    folder = os.environ.get("LOOMTEXT_TOKENIZERS", "/opt/tokenizers")
+    return packing.pack(_table(spark, sf, "documents"), tokens=packing.vocabulary_tokens(f"{folder}/byte_bpe_50k.json"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_leaks(spark, sf).select("doc_id", "item_id")
 
@@ -74,7 +86,7 @@ def p8_canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_shares": p1_shares, "p3_found": p3_found, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_terms": p5_terms, "p5_words": p5_words, "p6_found": p6_found, "p6_pack": p6_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_canonical": p8_canonical}
+    return {"p1_found": p1_found, "p1_shares": p1_shares, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_terms": p5_terms, "p5_words": p5_words, "p6_found": p6_found, "p6_pack": p6_pack, "p6_vocabulary_pack": p6_vocabulary_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_canonical": p8_canonical}
 
 
 _INDEX = """
@@ -96,19 +108,35 @@ sized AS (
     FROM documents)"""
 
 
+def _similar(k: int) -> str:
+    """Pairs of documents with a shared run of ``k`` words: how many they share, and have."""
+    return f"""
+words AS (
+    SELECT doc_id, regexp_extract_all(lower(CASE WHEN title IS NULL THEN text ELSE title || ' ' || text END), '[\\p{{L}}\\p{{N}}]+') AS w
+    FROM documents WHERE text IS NOT NULL AND trim(text) <> ''),
+shingles AS (SELECT DISTINCT doc_id, w[i:i + {k - 1}] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM words)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+    SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k, any_value(x.n) AS na, any_value(y.n) AS nb
+    FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+    JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id GROUP BY ALL)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
-        "p3_found": r"""
-            WITH words AS (
-                SELECT doc_id, regexp_extract_all(lower(CASE WHEN title IS NULL THEN text ELSE title || ' ' || text END), '[\p{L}\p{N}]+') AS w
-                FROM documents WHERE text IS NOT NULL AND trim(text) <> ''),
-            shingles AS (SELECT DISTINCT doc_id, w[i:i + 2] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
-            sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
-            shared AS (
-                SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS k
-                FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL)
-            SELECT doc_a, doc_b FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b
-            WHERE k >= 0.5 * (x.n + y.n - k)""",
+        "p3_found": f"WITH {_similar(3)} SELECT doc_a, doc_b FROM pairs WHERE k >= 0.5 * (na + nb - k)",
+        "p3_groups": f"""
+            WITH RECURSIVE {_similar(5)},
+            near AS (SELECT doc_a, doc_b, k = na AND k = nb AS equal FROM pairs WHERE k >= 0.8 * (na + nb - k)),
+            classes AS (SELECT doc_id, coalesce(min(doc_a), doc_id) AS class_id FROM sizes LEFT JOIN near ON doc_b = doc_id AND equal GROUP BY doc_id),
+            edges AS (
+                SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM (SELECT doc_a, doc_b FROM near UNION ALL SELECT doc_b, doc_a FROM near)
+                JOIN classes x ON x.doc_id = doc_a JOIN classes y ON y.doc_id = doc_b WHERE x.class_id <> y.class_id),
+            reached AS (SELECT DISTINCT class_id AS origin, class_id AS node FROM classes UNION SELECT origin, b FROM reached JOIN edges ON a = node),
+            named AS (SELECT origin, min(node) AS group_id FROM reached GROUP BY origin),
+            degree AS (SELECT a, count(*) AS links FROM edges GROUP BY a)
+            SELECT doc_id, class_id, group_id, coalesce(links, 0) AS links
+            FROM classes JOIN named ON origin = class_id LEFT JOIN degree ON a = class_id""",
         "p4_found": f"""
             WITH {_INDEX},
             scored AS (

@@ -69,7 +69,17 @@ def test_empty_tables(spark):
 
 
 def test_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "small", lambda df, rows=0: df)
+    monkeypatch.setattr(leakage, "small", lambda df, text=None: df)
     docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)))], "doc_id long, text string")
     items = spark.createDataFrame([(7, " ".join(f"w{i}" for i in range(10, 30)))], "item_id long, text string")
     assert [tuple(r) for r in leakage.leaks(docs, items).collect()] == [(1, 7, 20, 10, 0)]
+
+
+def test_size_is_checked_before_a_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "abc")] * 5, "a int, t string")
+    hinted = lambda x: "broadcast" in x._jdf.queryExecution().logical().toString().lower()
+    assert hinted(leakage.small(df, "t"))
+    monkeypatch.setattr(leakage, "BROADCAST_CHARS", 10)
+    assert hinted(leakage.small(df)) and not hinted(leakage.small(df, "t"))
+    monkeypatch.setattr(leakage, "BROADCAST_ROWS", 4)
+    assert not hinted(leakage.small(df))

@@ -101,3 +101,33 @@ def test_signatures_estimate_similarity():
     sig = nd._signatures(np.concatenate([x, y]), np.array([300, 300]), a, b)
     assert abs((sig[0] == sig[1]).mean() - 0.5) < 0.12
     assert nd.least_matches(192, 0.5) < 96 * 0.6
+
+
+def test_groups_are_connected_components(spark):
+    r = random.Random(11)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 140)] + [(r.randint(200, 260), r.randint(200, 260)) for _ in range(40)]
+    edges = [(a, b) for a, b in edges if a != b]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = nd.components(spark.createDataFrame(edges, "class_a long, class_b long")).collect()
+    assert {x["node"]: x["component"] for x in got} == {x: find(x) for x in root} and len(got) == len(root)
+    assert nd.components(spark.createDataFrame([], "class_a long, class_b long")).count() == 0
+
+
+def test_groups_of_records(spark):
+    base = [f"w{i}" for i in range(60)]
+    chain = [list(base)]
+    for k in range(3):
+        chain.append([*chain[-1][8:], *(f"n{k}{j}" for j in range(8))])
+    rows = [(i, None, " ".join(t), "e") for i, t in enumerate(chain)] + [(10, None, " ".join(base), "e"), (11, None, "other words that stand alone here", "e")]
+    links, members = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=3, similarity=0.7)
+    got = {x["doc_id"]: (x["class_id"], x["group_id"], x["links"]) for x in nd.groups(links, members).collect()}
+    assert got == {0: (0, 0, 1), 1: (1, 0, 2), 2: (2, 0, 2), 3: (3, 0, 1), 10: (0, 0, 1), 11: (11, 11, 0)}

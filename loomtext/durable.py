@@ -43,3 +43,13 @@ def durable(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFram
     df.write.option("compression", codec).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on at least as many partitions as there are cores.
+
+    A few small files would otherwise keep all work that follows on a few tasks. Input of
+    cluster size has more partitions than cores and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -7,10 +7,12 @@ code. Stems are computed once for each distinct word and joined back.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import spread
 from .porter import stem_words
 
 # English stop words that consist of letters.
@@ -24,15 +26,13 @@ just don should now d ll m o re ve y ain aren couldn didn doesn hadn hasn haven
 wasn weren won wouldn
 """.split()
 
-_SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: Pattern and replacement (group numbers in braces), applied in this order to lower-case text.
-SPLITS = (
-    (rf"([.])([)\"'»”’\]]*)({_SPACE}|$)", " {1} {2} {3}"),
-    (r"([,;:?!()\[\]{}\"@#$%&*<>«»“”‘’„`]|--|[.][.]+)", " {1} "),
-    (rf"([^' ])('s|'m|'d|'ll|'re|'ve|n't|')({_SPACE}|$)", "{1} {2} {3}"),
-    (r"\b(can)(not)\b|\b(gon)(na)\b|\b(got)(ta)\b|\b(wan)(na)\b", "{1}{3}{5}{7} {2}{4}{6}{8}"),
-    (r"\b(gim)(me)\b|\b(lem)(me)\b", "{1}{3} {2}{4}"),
-)
+# Signs that are tokens by themselves, and spaces other than the plain ones.
+SIGNS = ",;:?!()[]{}\"@#$%&*<>«»“”‘’„`"
+SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Contracted words, taken apart (groups 1, 3, 5, 7 and 2, 4, 6, 8).
+CONTRACTED = (r"\b(can)(not)\b|\b(gon)(na)\b|\b(got)(ta)\b|\b(wan)(na)\b", r"\b(gim)(me)\b|\b(lem)(me)\b")
+#: Dashes, dots, a full stop at the end of a sentence, and what follows an apostrophe; none of them has letters only.
+ENDINGS = r"--+|[.][.][.]+|([.]'*|n't|'(s|m|d|ll|re|ve)?)(\s|$)"
 LETTERS = r"^\p{L}+$"
 
 
@@ -50,26 +50,29 @@ RAW, CLEAN = Analyzer(False, False), Analyzer()
 def word_tokens(text: Column, stop_words: bool = False) -> Column:
     """Tokens of letters in lower case, in order; a token with any other sign is dropped whole.
 
-    A null text has a null array, an empty one an empty array.
+    Signs that would be tokens are blanked, as they'd be dropped. A null text has a null
+    array, an empty one an empty array.
     """
     out = F.lower(text)
-    for pattern, to in SPLITS:
-        for i in range(1, 9):
-            to = to.replace(f"{{{i}}}", f"${i}")
-        out = F.regexp_replace(out, pattern, to)
-    tokens = F.filter(F.split(out, f"{_SPACE}+"), lambda t: t.rlike(LETTERS))
+    apart = out
+    for pattern, to in zip(CONTRACTED, ("$1$3$5$7 $2$4$6$8", "$1$3 $2$4")):
+        apart = F.regexp_replace(apart, pattern, to)
+    rare = [F.contains(out, F.lit(w)) for w in ("cannot", "gonna", "gotta", "wanna", "gimme", "lemme")]
+    out = F.when(reduce(lambda a, b: a | b, rare), apart).otherwise(out)
+    out = F.regexp_replace(F.translate(out, SIGNS + SPACES, " " * len(SIGNS + SPACES)), ENDINGS, " ")
+    tokens = F.filter(F.split(out, r"\s+"), lambda t: t.rlike(LETTERS))
     return F.filter(tokens, lambda t: ~t.isin(STOP_WORDS)) if stop_words else tokens
 
 
 def tokens_sql(source: str, key: str, text: str, stop_words: bool = False) -> str:
     """DuckDB twin of :func:`positions` without stems: ``doc_id``, ``pos``, ``term``."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
     out = f"lower({text})"
-    for pattern, to in SPLITS:
-        for i in range(1, 9):
-            to = to.replace(f"{{{i}}}", f"\\{i}")
-        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+    for pattern, to in zip(CONTRACTED, (r"\1\3\5\7 \2\4\6\8", r"\1\3 \2\4")):
+        out = f"regexp_replace({out}, {quoted(pattern)}, '{to}', 'g')"
+    out = f"regexp_replace(translate({out}, {quoted(SIGNS + SPACES)}, '{' ' * len(SIGNS + SPACES)}'), {quoted(ENDINGS)}, ' ', 'g')"
     stop = " AND NOT list_contains([{}], t)".format(", ".join(f"'{w}'" for w in STOP_WORDS)) if stop_words else ""
-    kept = f"list_filter(regexp_split_to_array({out}, '{_SPACE}+'), lambda t: regexp_matches(t, '{LETTERS}'){stop})"
+    kept = f"list_filter(regexp_split_to_array({out}, '\\s+'), lambda t: regexp_matches(t, '{LETTERS}'){stop})"
     return f"SELECT doc_id, generate_subscripts(k, 1) - 1 AS pos, unnest(k) AS term FROM (SELECT CAST({key} AS VARCHAR) AS doc_id, {kept} AS k FROM {source})"
 
 
@@ -79,7 +82,7 @@ def positions(docs: DataFrame, analyzer: Analyzer = CLEAN) -> DataFrame:
     Positions count what is left after filtering, so neighbours may have had stop words or
     signs between them.
     """
-    tokens = docs.select("doc_id", F.posexplode(word_tokens(F.col("content"), analyzer.stop_words)).alias("pos", "term"))
+    tokens = spread(docs).select("doc_id", F.posexplode(word_tokens(F.col("content"), analyzer.stop_words)).alias("pos", "term"))
     if not analyzer.stem:
         return tokens
     stems = stem_words(tokens.select("term").distinct())

@@ -8,7 +8,7 @@ on the whole collection, so they are computed when read, never stored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..config import PARQUET, Codec, IndexConfig, Optimization, Store
 from ..durable import durable
-from ..functions.analyze import CLEAN, Analyzer, positions, word_tokens
+from ..functions.analyze import CLEAN, Analyzer, positions
+from ..functions.porter import stem_words
 from ..sources.corpus import numbered
 
 TABLES = ("postings", "term_stats", "doc_catalog")
@@ -36,20 +37,38 @@ class Index:
         """Keep the tables in memory for many queries."""
         return Index(self.postings.persist(), self.term_stats.persist(), self.doc_catalog.persist(), self.analyzer)
 
+    def stored(self, keep: Callable[[DataFrame, str], DataFrame]) -> Index:
+        """The index with each table passed through ``keep``, which writes it and reads it back.
+
+        Both statistics come from the written postings, so texts are analyzed once.
+        """
+        ids = self.doc_catalog.select("doc_id")
+        postings = keep(self.postings, "postings")
+        return Index(postings, keep(document_frequency(postings), "term_stats"), keep(doc_lengths(postings, ids), "doc_catalog"), self.analyzer)
+
 
 def build(docs: DataFrame, analyzer: Analyzer = CLEAN) -> Index:
     """Index documents ``doc_id`` (compared as a string) and ``content``.
 
     A document that comes several times is one document: positions of all its rows are
-    kept, each counted from 0, and its length is the longest. A null or empty content has
-    length 0 and no postings. Null ids are left out.
+    kept, each counted from 0, and its length is that of all rows. A null or empty content
+    has length 0 and no postings. Null ids are left out.
     """
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content").where("doc_id is not null")
-    grouped = positions(docs, analyzer).groupBy("term", "doc_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    postings = grouped.select("term", "doc_id", F.size("positions").alias("term_count"), "positions")
-    lengths = docs.select("doc_id", F.coalesce(F.size(word_tokens(F.col("content"), analyzer.stop_words)), F.lit(0)).alias("doc_len"))
-    catalog = lengths.groupBy("doc_id").agg(F.greatest(F.max("doc_len"), F.lit(0)).alias("doc_len"))
-    return Index(postings, document_frequency(postings), catalog, analyzer)
+    surface = positions(docs, Analyzer(analyzer.stop_words, False)).groupBy("term", "doc_id").agg(F.collect_list("pos").alias("positions"))
+    if analyzer.stem:
+        # words of one stem are merged after grouping, when there are fewer rows than tokens
+        surface = durable(surface, "surface")
+        stems = stem_words(surface.select("term").distinct())
+        surface = surface.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.flatten(F.collect_list("positions")).alias("positions"))
+    postings = surface.select("term", "doc_id", F.size("positions").alias("term_count"), F.array_sort("positions").alias("positions"))
+    return Index(postings, document_frequency(postings), doc_lengths(postings, docs.select("doc_id")), analyzer)
+
+
+def doc_lengths(postings: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id`` and ``doc_len``, the terms of its postings, of all distinct ids."""
+    lengths = postings.groupBy("doc_id").agg(F.sum("term_count").cast("int").alias("doc_len"))
+    return ids.distinct().join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:
@@ -164,18 +183,22 @@ class Shelf:
         """Write a new version and drop all but the one before it."""
         number = len(self._names(index_id)) and int(self._names(index_id)[-1][1:]) + 1
         base = f"{self.root}/{index_id}/v{number:06d}"
-        postings = index.postings
-        if self.config.optimization is Optimization.SKIPPING:
-            postings = skip_targets(postings)
         options = PARQUET[self.config.codec]
-        if self.config.store is Store.DB1:
-            # buckets by term let later joins on the term run without an exchange
-            table = f"{index_id}_{self.config.short_id}_postings".lower()
-            postings.write.mode("overwrite").options(**options).option("path", f"{base}/postings").bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "term").sortBy("term").saveAsTable(table)
-        else:
-            postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.options(**options).parquet(f"{base}/postings")
-        index.term_stats.repartitionByRange("term").sortWithinPartitions("term").write.options(**options).parquet(f"{base}/term_stats")
-        index.doc_catalog.write.options(**options).parquet(f"{base}/doc_catalog")
+
+        def keep(df: DataFrame, table: str) -> DataFrame:
+            path = f"{base}/{table}"
+            if table == "postings" and self.config.optimization is Optimization.SKIPPING:
+                df = skip_targets(df)
+            if table == "postings" and self.config.store is Store.DB1:
+                # buckets by term let later joins on the term run without an exchange
+                name = f"{index_id}_{self.config.short_id}_postings".lower()
+                df.write.mode("overwrite").options(**options).option("path", path).bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "term").sortBy("term").saveAsTable(name)
+            else:
+                key = {"postings": ["term", "doc_id"], "term_stats": ["term"], "doc_catalog": ["doc_id"]}[table]
+                df.repartitionByRange(*key).sortWithinPartitions(*key).write.options(**options).parquet(path)
+            return self.spark.read.parquet(path)
+
+        index.stored(keep)
         for old in self.versions(index_id)[:-2]:
             self._fs().delete(self._path(index_id, old), True)
         return base

@@ -54,10 +54,9 @@ def _index(spark: SparkSession, sf: str, analyzer: Analyzer = RAW) -> ix.Index:
     """The index of the documents, built once for each session, folder and analyzer and kept as durable tables."""
     key = (spark.sparkContext.applicationId, sf, analyzer)
     if key not in _indexes:
-        built = ix.build(_docs(spark, sf), analyzer)
-        postings = durable(built.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "postings")
-        stats = durable(ix.document_frequency(postings), "term-stats")
-        _indexes[key] = ix.Index(postings, stats, durable(built.doc_catalog, "doc-catalog"), analyzer)
+        ordered = {"postings": ["term", "doc_id"], "term_stats": ["term"], "doc_catalog": ["doc_id"]}
+        keep = lambda df, table: durable(df.repartitionByRange(*ordered[table]).sortWithinPartitions(*ordered[table]), table)
+        _indexes[key] = ix.build(_docs(spark, sf), analyzer).stored(keep)
     return _indexes[key]
 
 

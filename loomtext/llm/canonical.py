@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..durable import spread
 from .codepoints import LIMIT, chunked, explode, rebuild, slots
 
 #: What was found in a text; ``kinds`` is the sum.
@@ -294,5 +295,5 @@ def canonical_form(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             texts, kinds = canonical_texts(b.column(1).to_pylist(), tables.value)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(kinds, pa.int32())], ["key", "text", "kinds"])
 
-    out = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    out = spread(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))).mapInArrow(run, schema)
     return out.select(F.col("key").alias(key), F.col("text"), F.col("kinds"))

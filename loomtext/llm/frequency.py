@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..durable import spread
+
 RARE_BELOW, COMMON_ABOVE = 3, 0.2
 #: Rows that a task combines before it passes their bitmaps on.
 COMBINED_ROWS = 2_000_000
@@ -173,4 +175,4 @@ def text_frequencies(df: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield from _combined(held)
 
     rows = df.select(F.col(key).cast("long").alias("record"), F.col(text).cast("string").alias("text")).where("record is not null and text is not null")
-    return marked(_merged(rows.mapInArrow(build, SCHEMA)), total)
+    return marked(_merged(spread(rows).mapInArrow(build, SCHEMA)), total)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..durable import durable
+from ..durable import durable, spread
 from .canonical import canonical_texts, form_tables
 from .codepoints import char_tables, chunked, explode, grams_of, words_of
 
@@ -58,7 +58,7 @@ def fingerprints(df: DataFrame, key: str, text: str, k: int, span: int) -> DataF
                 doc = np.searchsorted(starts, at, "right") - 1
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc + lo)), pa.array(grams[at].view(np.int64)), pa.array((at - starts[doc]).astype(np.int32))], ["key", "print", "at"])
 
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text is not null").mapInArrow(run, schema)
+    return spread(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text is not null")).mapInArrow(run, schema)
 
 
 def _longest(doc: np.ndarray, item: np.ndarray, shifts: set[int]) -> tuple[int, int, int]:

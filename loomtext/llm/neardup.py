@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..durable import durable
+from ..durable import durable, spread
 from .codepoints import char_tables, chunked, explode, grams_of, words_of
 
 
@@ -91,7 +91,7 @@ def signatures(df: DataFrame, shingle: int, positions: int) -> DataFrame:
                 offsets = pa.py_buffer((np.arange(some.size + 1, dtype=np.int32) * positions).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some + lo)), pa.array(high.view(np.int64)), pa.array(low.view(np.int64)), pa.array(counts[some].astype(np.int64)), pa.Array.from_buffers(pa.binary(), some.size, [None, offsets, flat])], [f.name for f in schema])
 
-    return df.select("id", "title", "text").mapInArrow(run, schema)
+    return spread(df.select("id", "title", "text")).mapInArrow(run, schema)
 
 
 def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..durable import durable
+from ..durable import durable, spread
 from .canonical import canonical_texts, form_tables
 from .codepoints import CHUNK_CHARS, char_tables, chunked, explode, mix, slots, words_of
 
@@ -385,7 +385,7 @@ def area_shares(df: DataFrame, model: Model, least: float = 0.18) -> DataFrame:
                 keys = [b.column(j).take(pa.array(row + lo)) for j in range(len(others))]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(names[area].tolist(), pa.string()), pa.array(share[row, area])], [f.name for f in schema])
 
-    return df.select(*others, F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(run, schema)
+    return spread(df.select(*others, F.col("text").cast("string").alias("text")).where("text is not null")).mapInArrow(run, schema)
 
 
 def subject_areas(docs: DataFrame, pages: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:

@@ -31,6 +31,7 @@ SIGNS = ",;:?!()[]{}\"@#$%&*<>«»“”‘’„`"
 SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Contracted words, taken apart (groups 1, 3, 5, 7 and 2, 4, 6, 8).
 CONTRACTED = (r"\b(can)(not)\b|\b(gon)(na)\b|\b(got)(ta)\b|\b(wan)(na)\b", r"\b(gim)(me)\b|\b(lem)(me)\b")
+_PARTED = ("cannot", "gonna", "gotta", "wanna", "gimme", "lemme")
 #: Dashes, dots, a full stop at the end of a sentence, and what follows an apostrophe; none of them has letters only.
 ENDINGS = r"--+|[.][.][.]+|([.]'*|n't|'(s|m|d|ll|re|ve)?)(\s|$)"
 LETTERS = r"^\p{L}+$"
@@ -57,7 +58,7 @@ def word_tokens(text: Column, stop_words: bool = False) -> Column:
     apart = out
     for pattern, to in zip(CONTRACTED, ("$1$3$5$7 $2$4$6$8", "$1$3 $2$4")):
         apart = F.regexp_replace(apart, pattern, to)
-    rare = [F.contains(out, F.lit(w)) for w in ("cannot", "gonna", "gotta", "wanna", "gimme", "lemme")]
+    rare = [F.contains(out, F.lit(w)) for w in _PARTED]
     out = F.when(reduce(lambda a, b: a | b, rare), apart).otherwise(out)
     out = F.regexp_replace(F.translate(out, SIGNS + SPACES, " " * len(SIGNS + SPACES)), ENDINGS, " ")
     tokens = F.filter(F.split(out, r"\s+"), lambda t: t.rlike(LETTERS))
@@ -91,6 +92,9 @@ def positions(docs: DataFrame, analyzer: Analyzer = CLEAN) -> DataFrame:
 
 def analyze_words(spark, words: list[str], analyzer: Analyzer) -> dict[str, list[str]]:
     """Terms of each query word under the analyzer; a stop word or a sign has none."""
+    plain = not analyzer.stem and all(w.isascii() and w.isalpha() and w.lower() not in _PARTED for w in words)
+    if plain or not words:
+        return {w: [] if analyzer.stop_words and w.lower() in STOP_WORDS else [w.lower()] for w in words}
     rows = spark.createDataFrame([(w, w) for w in dict.fromkeys(words)], "doc_id string, content string")
     out: dict[str, list[str]] = {w: [] for w in words}
     for r in positions(rows, analyzer).orderBy("doc_id", "pos").collect():

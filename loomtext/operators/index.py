@@ -1,15 +1,17 @@
 """Positional inverted index: build, weights, physical features, and its life on disk.
 
-An index is three tables: ``postings(term, doc_id, term_count, positions)``, kept in ranges
-of terms so that row-group statistics answer a lookup; ``term_stats(term, df)``; and
-``doc_catalog(doc_id, doc_len)``, which also holds documents without terms. Weights depend
-on the whole collection, so they are computed when read, never stored.
+An index is three tables: ``postings(term, doc_id, term_count, positions, doc_len)``, kept in
+ranges of terms so that row-group statistics answer a lookup; ``term_stats(term, df)``; and
+``doc_catalog(doc_id, doc_len)``, which also holds documents without terms. A posting
+repeats its document's length, so ranking joins nothing of the catalog's size. Weights
+depend on the whole collection, so they are computed when read, never stored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import PARQUET, Codec, IndexConfig, Optimization, Store
-from ..durable import durable
-from ..functions.analyze import CLEAN, Analyzer, positions
+from ..durable import durable, spread
+from ..functions.analyze import CLEAN, Analyzer, word_tokens
 from ..functions.porter import stem_words
 from ..sources.corpus import numbered
 
@@ -33,6 +35,12 @@ class Index:
     doc_catalog: DataFrame
     analyzer: Analyzer
 
+    @cached_property
+    def size(self) -> tuple[int, float]:
+        """Number of documents and their mean length, counted once."""
+        n, mean = self.doc_catalog.agg(F.count(F.lit(1)), F.avg("doc_len")).first()
+        return n, float(mean or 0)
+
     def persist(self) -> Index:
         """Keep the tables in memory for many queries."""
         return Index(self.postings.persist(), self.term_stats.persist(), self.doc_catalog.persist(), self.analyzer)
@@ -51,23 +59,25 @@ def build(docs: DataFrame, analyzer: Analyzer = CLEAN) -> Index:
     """Index documents ``doc_id`` (compared as a string) and ``content``.
 
     A document that comes several times is one document: positions of all its rows are
-    kept, each counted from 0, and its length is that of all rows. A null or empty content
-    has length 0 and no postings. Null ids are left out.
+    kept, each counted from 0, and its length is that of its longest row. A null or empty
+    content has length 0 and no postings. Null ids are left out.
     """
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content").where("doc_id is not null")
-    surface = positions(docs, Analyzer(analyzer.stop_words, False)).groupBy("term", "doc_id").agg(F.collect_list("pos").alias("positions"))
+    tokens = spread(docs).select("doc_id", word_tokens(F.col("content"), analyzer.stop_words).alias("tokens"))
+    placed = tokens.select("doc_id", F.size("tokens").alias("doc_len"), F.posexplode("tokens").alias("pos", "term"))
+    surface = placed.groupBy("term", "doc_id").agg(F.collect_list("pos").alias("positions"), F.max("doc_len").alias("doc_len"))
     if analyzer.stem:
         # words of one stem are merged after grouping, when there are fewer rows than tokens
         surface = durable(surface, "surface")
         stems = stem_words(surface.select("term").distinct())
-        surface = surface.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.flatten(F.collect_list("positions")).alias("positions"))
-    postings = surface.select("term", "doc_id", F.size("positions").alias("term_count"), F.array_sort("positions").alias("positions"))
+        surface = surface.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.flatten(F.collect_list("positions")).alias("positions"), F.max("doc_len").alias("doc_len"))
+    postings = surface.select("term", "doc_id", F.size("positions").alias("term_count"), F.array_sort("positions").alias("positions"), "doc_len")
     return Index(postings, document_frequency(postings), doc_lengths(postings, docs.select("doc_id")), analyzer)
 
 
 def doc_lengths(postings: DataFrame, ids: DataFrame) -> DataFrame:
-    """``doc_id`` and ``doc_len``, the terms of its postings, of all distinct ids."""
-    lengths = postings.groupBy("doc_id").agg(F.sum("term_count").cast("int").alias("doc_len"))
+    """``doc_id`` and ``doc_len``, 0 without postings, of all distinct ids."""
+    lengths = postings.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
     return ids.distinct().join(lengths, "doc_id", "left").select("doc_id", F.coalesce("doc_len", F.lit(0)).alias("doc_len"))
 
 
@@ -75,10 +85,6 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def total_docs(index: Index) -> int:
-    return index.doc_catalog.count()
-
-
 def idf(df: Column, n: int) -> Column:
     """Natural logarithm of the inverse document frequency, without smoothing."""
     return F.ln(F.lit(float(n)) / df)
@@ -90,10 +96,8 @@ def tf(count: Column, length: Column) -> Column:
 
 def weights(index: Index, postings: DataFrame | None = None) -> DataFrame:
     """Postings with ``tf``, ``idf`` and ``tfidf``; those of some terms only if ``postings`` are given."""
-    postings = index.postings if postings is None else postings
-    n = total_docs(index)
-    joined = postings.join(index.term_stats, "term").join(index.doc_catalog, "doc_id")
-    weighted = joined.withColumn("tf", tf(F.col("term_count"), F.col("doc_len"))).withColumn("idf", idf(F.col("df"), n))
+    joined = (index.postings if postings is None else postings).join(index.term_stats, "term")
+    weighted = joined.withColumn("tf", tf(F.col("term_count"), F.col("doc_len"))).withColumn("idf", idf(F.col("df"), index.size[0]))
     return weighted.withColumn("tfidf", F.col("tf") * F.col("idf")).drop("df", "doc_len")
 
 
@@ -245,7 +249,7 @@ def changed(index: Index, remove: DataFrame | None = None, add: DataFrame | None
     if gone is None:
         return index
     gone = gone.distinct()
-    columns = ["term", "doc_id", "term_count", "positions"]
+    columns = ["term", "doc_id", "term_count", "positions", "doc_len"]
     postings = index.postings.select(columns).join(gone, "doc_id", "left_anti").select(columns)
     catalog = index.doc_catalog.join(gone, "doc_id", "left_anti")
     if fresh is not None:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analyze import analyze_words
 from ..plans.query import Node, Not, Phrase, Term, holds_without_terms, leaves, parse, predicate, rewrite, words_of
-from .index import Index, idf, tf, total_docs
+from .index import Index, idf, tf
 
 TOP = 100
 #: Fixed values of BM25.
@@ -32,8 +32,6 @@ def compile_query(index: Index, query: str, analyze_query: bool = True) -> Node:
     lower = {w: [w.lower()] for w in words}
     if not analyze_query:
         return rewrite(tree, lower)
-    if not (index.analyzer.stem or index.analyzer.stop_words) and all(w.isalpha() for w in words):
-        return rewrite(tree, lower)
     return rewrite(tree, analyze_words(index.postings.sparkSession, words, index.analyzer))
 
 
@@ -79,19 +77,18 @@ def boolean_search(index: Index, query: str, analyze_query: bool = True, n: int
 
 def _scores(index: Index, words: list[str], weight: str) -> DataFrame:
     """``doc_id`` and the sum of the weights of some terms, to 6 decimals."""
-    hits = index.postings.where(F.col("term").isin(words)).select("term", "doc_id", "term_count")
+    hits = index.postings.where(F.col("term").isin(words)).select("term", "doc_id", "term_count", "doc_len")
     if weight == "boolean":
         value = F.lit(1.0)
     elif weight == "wordcount":
         value = F.col("term_count").cast("double")
     elif weight in ("tfidf", "bm25"):
-        n = total_docs(index)
+        n, mean = index.size
         # one row for each query term
-        hits = hits.join(F.broadcast(index.term_stats.where(F.col("term").isin(words))), "term").join(index.doc_catalog, "doc_id")
+        hits = hits.join(F.broadcast(index.term_stats.where(F.col("term").isin(words))), "term")
         if weight == "tfidf":
             value = tf(F.col("term_count"), F.col("doc_len")) * idf(F.col("df"), n)
         else:
-            mean = float(index.doc_catalog.agg(F.avg("doc_len")).first()[0] or 0)
             value = bm25(F.col("term_count"), F.col("df"), F.col("doc_len"), n, mean)
     else:
         raise ValueError(f"unknown weight {weight}")
@@ -127,7 +124,7 @@ def ranked_search(index: Index, query: str, weight: str = "tfidf", ranked: str =
 def match_search(index: Index, query: str, n: int = TOP) -> DataFrame:
     """BM25 of all words of a query, as plain text: quotes are dropped, operators are words like others."""
     words = query.replace('"', " ").replace("(", " ").replace(")", " ").split()
-    found = analyze_words(index.postings.sparkSession, words, index.analyzer) if words else {}
+    found = analyze_words(index.postings.sparkSession, words, index.analyzer)
     return top(_scores(index, list(dict.fromkeys(t for w in words for t in found[w])), "bm25"), n)
 
 
@@ -147,8 +144,8 @@ def batch_search(index: Index, queries: DataFrame, analyze_query: bool = True, n
     rows = queries.select("query_id", "query").orderBy("query_id").collect()
     trees = {r["query_id"]: parse(r["query"] or "") for r in rows}
     words = list(dict.fromkeys(w for t in trees.values() for w in words_of(t)))
-    if analyze_query and (index.analyzer.stem or index.analyzer.stop_words or not all(w.isalpha() for w in words)):
-        terms = analyze_words(index.postings.sparkSession, words, index.analyzer) if words else {}
+    if analyze_query:
+        terms = analyze_words(index.postings.sparkSession, words, index.analyzer)
     else:
         terms = {w: [w.lower()] for w in words}
     trees = {k: rewrite(t, terms) for k, t in trees.items()}

@@ -148,7 +148,7 @@ def document_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 def idf_table(spark: SparkSession, sf: str) -> DataFrame:
     index = _index(spark, sf)
-    return index.term_stats.select("term", F.round(ix.idf(F.col("df"), ix.total_docs(index)), 6).alias("idf"))
+    return index.term_stats.select("term", F.round(ix.idf(F.col("df"), index.size[0]), 6).alias("idf"))
 
 
 def list_indexed_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -172,7 +172,7 @@ def index_update(spark: SparkSession, sf: str) -> DataFrame:
     """German documents go, all pages come; the weights of the index after that."""
     gone = _table(spark, sf, "documents").where("lang = 'de'").select("doc_id")
     after = ix.changed(_index(spark, sf), gone, load_wikipedia(spark, sf))
-    return after.term_stats.select("term", "df", F.round(ix.idf(F.col("df"), ix.total_docs(after)), 6).alias("idf"))
+    return after.term_stats.select("term", "df", F.round(ix.idf(F.col("df"), after.size[0]), 6).alias("idf"))
 
 
 def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

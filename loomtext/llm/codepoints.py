@@ -19,6 +19,8 @@ import numpy as np
 #: Code points beyond this carry no decomposition; two more slots: "other" and "tags".
 LIMIT = 0x30000
 CHUNK_CHARS = 500_000
+#: Matches a text that isn't blank, in Java's dialect and DuckDB's.
+VISIBLE = r"[^\s\p{Z}]"
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX_A = np.uint64(0xBF58476D1CE4E5B9)

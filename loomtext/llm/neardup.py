@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..durable import durable, spread
-from .codepoints import char_tables, chunked, explode, grams_of, words_of
+from .codepoints import VISIBLE, char_tables, chunked, explode, grams_of, words_of
 
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +179,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", titl
     (1 - s^block)^(positions / block): 2e-4 at 0.5, 1e-5 at 0.55, below 1e-16 at 0.8.
     """
     rows = df.select(F.col(key).alias("id"), (F.col(title).cast("string") if title else F.lit(None).cast("string")).alias("title"), F.col(text).cast("string").alias("text"))
-    rows = rows.where("id is not null and text is not null and trim(text) <> ''")
+    rows = rows.where(F.col("id").isNotNull() & F.col("text").rlike(VISIBLE))
     signed = durable(signatures(rows, shingle, positions), "signatures")
     classes = signed.groupBy("class_hi", "class_lo").agg(F.min("id").alias("c"))
     members = signed.select("id", "class_hi", "class_lo").join(classes, ["class_hi", "class_lo"]).select(F.col("id").alias(key), F.col("c").alias("class_id")).distinct()

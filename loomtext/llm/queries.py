@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import canonical, distinct, frequency, leakage, neardup, packing, subjects
+from .codepoints import VISIBLE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -113,7 +114,7 @@ def _similar(k: int) -> str:
     return f"""
 words AS (
     SELECT doc_id, regexp_extract_all(lower(CASE WHEN title IS NULL THEN text ELSE title || ' ' || text END), '[\\p{{L}}\\p{{N}}]+') AS w
-    FROM documents WHERE text IS NOT NULL AND trim(text) <> ''),
+    FROM documents WHERE regexp_matches(text, '{VISIBLE}')),
 shingles AS (SELECT DISTINCT doc_id, w[i:i + {k - 1}] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM words)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 pairs AS (

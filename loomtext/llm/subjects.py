@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..durable import durable, spread
 from .canonical import canonical_texts, form_tables
-from .codepoints import CHUNK_CHARS, char_tables, chunked, explode, mix, slots, words_of
+from .codepoints import CHUNK_CHARS, VISIBLE, char_tables, chunked, explode, mix, slots, words_of
 
 WORD_SLOTS, GRAM_SLOTS, DIM = 1 << 15, 1 << 15, 16
 GRAMS = (3, 4, 5)
@@ -347,7 +347,7 @@ def train(docs: DataFrame, labels: DataFrame, areas: list[str], stratum: str | N
     model = new_model(areas)
     clean = labels.select("id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(areas) & F.col("id").isNotNull())
     known = clean.groupBy("id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
-    sample = _sample(docs.where("text is not null and trim(text) <> ''"), known, stratum, per_stratum, at_most)
+    sample = _sample(docs.where(F.col("text").rlike(VISIBLE)), known, stratum, per_stratum, at_most)
     sample = durable(sample.select("text", "subjects").repartition(TRAIN_PARTITIONS, "text"), "sample")
     _fit(_examples(sample, areas, None), model, DOCUMENT_ROUNDS, DOCUMENT_RATE)
     _fit(_examples(sample, areas, model), model, SENTENCE_ROUNDS, SENTENCE_RATE)
@@ -402,9 +402,9 @@ def subject_areas(docs: DataFrame, pages: DataFrame, labels: DataFrame, areas: D
     stratum = "lang" if "lang" in docs.columns else None
     keyed = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), *([stratum] if stratum else []))
     model = train(keyed, labels.select(F.col("doc_id").alias("id"), "subject"), names, stratum)
-    mine = docs.select(F.lit("documents").alias("origin"), F.col("doc_id").cast("string").alias("rec_id"), "text").where("rec_id is not null and trim(text) <> ''")
+    mine = docs.select(F.lit("documents").alias("origin"), F.col("doc_id").cast("string").alias("rec_id"), "text").where(F.col("rec_id").isNotNull() & F.col("text").rlike(VISIBLE))
     own = area_shares(mine, model).groupBy("origin", "rec_id", "subject").agg(F.max("share").alias("share"))
-    rows = pages.select(F.col("id").cast("string").alias("rec_id"), F.struct("revised_at", "loaded_at", F.xxhash64("text").alias("t")).alias("v"), "text").where("rec_id is not null and trim(text) <> ''")
+    rows = pages.select(F.col("id").cast("string").alias("rec_id"), F.struct("revised_at", "loaded_at", F.xxhash64("text").alias("t")).alias("v"), "text").where(F.col("rec_id").isNotNull() & F.col("text").rlike(VISIBLE))
     latest = rows.groupBy("rec_id").agg(F.max("v").alias("last"))
     scored = area_shares(rows, model).join(latest, "rec_id").where("v <=> last").select(F.lit("wikipedia").alias("origin"), "rec_id", "subject", "share").distinct()
     return own.unionByName(scored)

@@ -42,7 +42,7 @@ def tables(spark, corpus):
     labels = [(i, r.upper() + " " if i % 7 == 0 else r) for i, _, true in corpus[:200] for r in sorted(true)]
     labels += [(1, None), (2, "unknown"), (None, "law"), labels[0], (7777, "law")]
     areas = spark.createDataFrame([("law", ""), ("Sport", ""), ("music", ""), (None, "")], "subject string, about string")
-    pages = [("p1", None, corpus[-50 % len(corpus)][1], 2, 1), ("p1", None, corpus[-1][1], 1, 1), ("p2", "t", None, 1, 1), ("p1", None, corpus[-50 % len(corpus)][1], 2, 1), ("p1", None, None, 3, 1)]
+    pages = [("p1", None, corpus[-50 % len(corpus)][1], 2, 1), ("p1", None, corpus[-1][1], 1, 1), ("p2", "t", None, 1, 1), ("p1", None, corpus[-50 % len(corpus)][1], 2, 1), ("p1", None, None, 3, 1), ("p1", None, " \n", 4, 1)]
     return docs, spark.createDataFrame(pages, "id string, title string, text string, revised_at int, loaded_at int"), spark.createDataFrame(labels, "doc_id long, subject string"), areas
 
 

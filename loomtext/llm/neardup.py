@@ -181,11 +181,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", titl
     rows = df.select(F.col(key).alias("id"), (F.col(title).cast("string") if title else F.lit(None).cast("string")).alias("title"), F.col(text).cast("string").alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").rlike(VISIBLE))
     signed = durable(signatures(rows, shingle, positions), "signatures")
-    classes = signed.groupBy("class_hi", "class_lo").agg(F.min("id").alias("c"))
-    members = signed.select("id", "class_hi", "class_lo").join(classes, ["class_hi", "class_lo"]).select(F.col("id").alias(key), F.col("c").alias("class_id")).distinct()
-    # the least key of a class is one of its rows, so its signature needs no aggregate of binaries
-    reps = signed.join(classes.select("c", "class_hi", "class_lo"), ["class_hi", "class_lo"]).where("id = c").select("c", "sig", "n").dropDuplicates(["c"])
-    reps = durable(reps, "classes")
+    names = signed.groupBy("class_hi", "class_lo").agg(F.min("id").alias("c"))
+    members = signed.select("id", "class_hi", "class_lo").join(names, ["class_hi", "class_lo"]).select(F.col("id").alias(key), F.col("c").alias("class_id")).distinct()
+    # copies are reduced to their least record before the shuffle, however many there are; should
+    # one id with several texts lead several classes, the least signature stands for it
+    classes = signed.groupBy("class_hi", "class_lo").agg(F.min(F.struct("id", "n", "sig")).alias("r")).select(F.col("r.id").alias("c"), "r.n", "r.sig")
+    reps = durable(classes.groupBy("c").agg(F.min(F.struct("n", "sig")).alias("r")).select("c", "r.n", "r.sig"), "classes")
     pairs = _candidates(reps, positions, block, hot, levels)
     need = least_matches(positions, similarity)
     side = lambda x: reps.select(F.col("c").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))

@@ -11,6 +11,7 @@ from .functions.analyze import CLEAN, Analyzer
 from .operators.index import Index, Shelf
 from .operators.measure import searcher
 from .operators.search import results_json
+from .ship import ship
 
 Documents = DataFrame | Iterable[tuple[str, str]]
 
@@ -19,6 +20,7 @@ class SearchEngine:
     """Documents are a DataFrame ``doc_id``, ``content``, or pairs of both."""
 
     def __init__(self, spark: SparkSession, root: str, config: IndexConfig | None = None, analyzer: Analyzer = CLEAN):
+        ship(spark)
         self.spark, self.config, self.analyzer = spark, config or IndexConfig(), analyzer
         self.shelf = Shelf(spark, f"{root.rstrip('/')}/{self.config.short_id}", self.config)
         self.index: Index | None = None

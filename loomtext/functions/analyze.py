@@ -74,7 +74,7 @@ def tokens_sql(source: str, key: str, text: str, stop_words: bool = False) -> st
     out = f"regexp_replace(translate({out}, {quoted(SIGNS + SPACES)}, '{' ' * len(SIGNS + SPACES)}'), {quoted(ENDINGS)}, ' ', 'g')"
     stop = " AND NOT list_contains([{}], t)".format(", ".join(f"'{w}'" for w in STOP_WORDS)) if stop_words else ""
     kept = f"list_filter(regexp_split_to_array({out}, '\\s+'), lambda t: regexp_matches(t, '{LETTERS}'){stop})"
-    return f"SELECT doc_id, generate_subscripts(k, 1) - 1 AS pos, unnest(k) AS term FROM (SELECT CAST({key} AS VARCHAR) AS doc_id, {kept} AS k FROM {source})"
+    return f"SELECT doc_id, CAST(generate_subscripts(k, 1) - 1 AS INTEGER) AS pos, unnest(k) AS term FROM (SELECT CAST({key} AS VARCHAR) AS doc_id, {kept} AS k FROM {source})"
 
 
 def positions(docs: DataFrame, analyzer: Analyzer = CLEAN) -> DataFrame:

@@ -64,14 +64,16 @@ def build(docs: DataFrame, analyzer: Analyzer = CLEAN) -> Index:
     """
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content").where("doc_id is not null")
     tokens = spread(docs).select("doc_id", word_tokens(F.col("content"), analyzer.stop_words).alias("tokens"))
-    placed = tokens.select("doc_id", F.size("tokens").alias("doc_len"), F.posexplode("tokens").alias("pos", "term"))
+    # the length is taken before exploding, or each token's row would carry all tokens; an inner
+    # explode would have the optimizer test the array's size, hence tokenize, once more at the scan
+    placed = tokens.withColumn("doc_len", F.size("tokens")).select("doc_id", "doc_len", F.posexplode_outer("tokens").alias("pos", "term")).where("term is not null")
     surface = placed.groupBy("term", "doc_id").agg(F.collect_list("pos").alias("positions"), F.max("doc_len").alias("doc_len"))
     if analyzer.stem:
         # words of one stem are merged after grouping, when there are fewer rows than tokens
         surface = durable(surface, "surface")
         stems = stem_words(surface.select("term").distinct())
         surface = surface.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.flatten(F.collect_list("positions")).alias("positions"), F.max("doc_len").alias("doc_len"))
-    postings = surface.select("term", "doc_id", F.size("positions").alias("term_count"), F.array_sort("positions").alias("positions"), "doc_len")
+    postings = surface.select("term", "doc_id", F.size("positions").alias("term_count"), F.sort_array("positions").alias("positions"), "doc_len")
     return Index(postings, document_frequency(postings), doc_lengths(postings, docs.select("doc_id")), analyzer)
 
 

@@ -215,7 +215,7 @@ def _compose(cps, doc, apart, kinds, t):
         if not second.size:
             second, base, to = _compose_apart(cps, doc, marks, t)
             if not second.size:
-                return cps, doc
+                return cps, doc, apart
         separate = second[apart[second]]
         np.bitwise_or.at(kinds, doc[separate], SEPARATE_MARK)
         cps = cps.copy()
@@ -256,8 +256,11 @@ def canonical_chunk(cps: np.ndarray, starts: np.ndarray, t: FormTables) -> tuple
     if not seen.all():
         cps, doc, apart, flags = cps[seen], doc[seen], apart[seen], flags[seen]
     cps, doc, apart = _expand(cps, doc, apart, t, flags)
-    cps = _latinize(cps, doc, kinds, t)
-    cps, doc = _compose(cps, doc, apart, kinds, t)
+    # composed first, so that a letter of another script is judged with its accent
+    cps, doc, apart = _compose(cps, doc, apart, kinds, t)
+    latin = _latinize(cps, doc, kinds, t)
+    if latin is not cps:
+        cps, doc, apart = _compose(latin, doc, apart, kinds, t)
     out = np.zeros(starts.size, np.int64)
     np.cumsum(np.bincount(doc, minlength=starts.size - 1), out=out[1:])
     return cps, out, kinds

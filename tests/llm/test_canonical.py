@@ -30,6 +30,9 @@ from loomtext.llm import canonical as c
         (None, None, 0),
         ("\x00bell\x07", "bell", c.INVISIBLE),
         ("´ ¨ stay", None, 0),
+        ("\u1f71", "\u03ac", 0),
+        ("\u03b1\u0301", "\u03ac", c.SEPARATE_MARK),
+        ("\u0435\u0301t", "\u00e9t", c.SEPARATE_MARK | c.LOOK_ALIKE),
         ("日本語 עברית العربية", None, 0),
     ],
 )
@@ -41,7 +44,7 @@ def test_cases(text, form, kinds):
 
 _T = c.form_tables()
 _PLAIN = [chr(x) for x in range(0x20, c.LIMIT) if not 0xD800 <= x < 0xE000 and _T.flags[x] and _T.kind[x] != c.INVISIBLE and not _T.alike[x]]
-_PLAIN = [x for x in _PLAIN if not (len(k := unicodedata.normalize("NFKD", x)) > 1 and k[0] == " ")]
+_PLAIN = [x for x in _PLAIN if not (len(k := unicodedata.normalize("NFKD", x)) > 1 and k[0] == " ") and not any(_T.alike[ord(y)] for y in k) and x != "\u1680"]
 
 
 @settings(max_examples=300, deadline=None)

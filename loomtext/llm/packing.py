@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..durable import durable, spread
+from ..durable import durable
 
 # Fixed value: words, and single signs, as runs of letters, numbers and underscores, or one other visible character.
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -101,7 +101,8 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int =
     more pieces. Sizes alone leave the JVM, never texts, unless the tokenizer needs them.
     """
     key_type = df.schema[key].dataType
-    texts = spread(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")))
+    # not spread over more partitions: fewer of them leave fewer containers open
+    texts = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     sized = texts.select("key", F.coalesce(tokens(F.col("text")), F.lit(0)).cast("long").alias("size"))
     fields = ["part", "bin", "key", "piece", "pieces", "first_token", "n_tokens", "still_open"]
     schema = T.StructType([T.StructField(f, key_type if f == "key" else T.BooleanType() if f == "still_open" else T.LongType()) for f in fields])

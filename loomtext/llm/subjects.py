@@ -8,7 +8,7 @@ the examples; then their sentences, each with the area among its document's labe
 the first model finds in it, which tells apart the areas of mixed documents. As the
 output is linear in the average, a trained model is a table of area scores for each word,
 which scores every sentence of every document in one pass; an area counts for a document
-by its share of the sentences.
+by its share of the sentences, and a text where no area has enough gets its best one.
 """
 
 from __future__ import annotations
@@ -358,9 +358,12 @@ def area_shares(df: DataFrame, model: Model, least: float = 0.18) -> DataFrame:
     """The areas of each row of ``df``: its columns other than ``text``, then ``subject`` and ``share``.
 
     ``share`` is the part of the row's sentences that belong to the area, at least
-    ``least``. A sentence belongs to its likeliest area if that is likelier than not. A
-    null or blank text, and one without words, has no row. Every row of ``df`` is scored by
-    itself, in one pass without a shuffle.
+    ``least``. A sentence belongs to its likeliest area if that is likelier than not. Where
+    no area has that many, the row has the one of the largest share, with equal shares (all
+    zero, say) the one of the largest mean logit; ``share`` is then below ``least``. A text
+    with content but no words has the area that the model expects of any text. Only null and
+    blank texts, and those blank in canonical form, have no row. Every row of ``df`` is
+    scored by itself, in one pass without a shuffle.
     """
     context = df.sparkSession.sparkContext
     tables = context.broadcast((form_tables(), char_tables(), area_table(model)))
@@ -374,18 +377,23 @@ def area_shares(df: DataFrame, model: Model, least: float = 0.18) -> DataFrame:
             texts = canonical_texts(b.column(len(others)).to_pylist(), forms)[0]
             for lo, hi in chunked(texts):
                 z, text = sentence_scores(texts[lo:hi], table, chars)
-                if not text.size:
-                    continue
+                n = np.bincount(text, minlength=hi - lo)
                 best = z.argmax(axis=1)
                 sure = z[np.arange(best.size), best] > 0
-                share = np.zeros((hi - lo, names.size))
+                share, mean = np.zeros((hi - lo, names.size)), np.zeros((hi - lo, names.size))
                 np.add.at(share, (text[sure], best[sure]), 1)
-                share /= np.maximum(np.bincount(text, minlength=hi - lo), 1)[:, None]
-                row, area = np.nonzero(share >= least)
+                np.add.at(mean, text, z)
+                share /= np.maximum(n, 1)[:, None]
+                mean = np.where(n[:, None] > 0, mean / np.maximum(n, 1)[:, None], table[2])
+                kept = share >= least
+                none = np.flatnonzero(~kept.any(axis=1) & np.array([bool(s) and not s.isspace() for s in texts[lo:hi]]))
+                top = share[none] == share[none].max(axis=1, keepdims=True)
+                kept[none, np.where(top, mean[none], -np.inf).argmax(axis=1)] = True
+                row, area = np.nonzero(kept)
                 keys = [b.column(j).take(pa.array(row + lo)) for j in range(len(others))]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(names[area].tolist(), pa.string()), pa.array(share[row, area])], [f.name for f in schema])
 
-    return spread(df.select(*others, F.col("text").cast("string").alias("text")).where("text is not null")).mapInArrow(run, schema)
+    return spread(df.select(*others, F.col("text").cast("string").alias("text")).where(F.col("text").rlike(VISIBLE))).mapInArrow(run, schema)
 
 
 def subject_areas(docs: DataFrame, pages: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:

@@ -64,6 +64,25 @@ def test_no_labels_and_no_areas(spark, corpus):
     assert subjects.subject_areas(docs.limit(0), pages.limit(0), labels, areas).count() == 0
 
 
+def test_every_text_with_content_has_an_area(spark):
+    """No area reaches the least share: the largest share counts, or else the largest mean logit."""
+    model = subjects.new_model(["law", "music", "sport"])
+    for a in model.arrays():
+        a[...] = 0
+    cps, starts = explode(["judge", "violin"])
+    slot = subjects._vocabulary(cps, subjects.words_of(cps, starts, char_tables()), char_tables())
+    for word, area in zip(slot.slot[slot.each], (0, 1)):
+        model.word[word, area] = 1
+    model.out[0, 0] = model.out[1, 1] = 9
+    model.bias[:] = -6, -5, -4
+    rest = " Some more words." * 8
+    rows = [(1, "Judge." + rest), (2, "Judge. Violin." + rest), (3, "Some words judge violin violin here today again."), (4, "Some words."), (5, "?!"), (6, None), (7, " \n"), (8, "\u200b"), (9, "Judge. Violin.")]
+    got = subjects.area_shares(spark.createDataFrame(rows, "id long, text string"), model).collect()
+    expected = [(1, "law", 1 / 9), (2, "music", 0.1), (3, "music", 0.0), (4, "sport", 0.0), (5, "sport", 0.0), (9, "law", 0.5), (9, "music", 0.5)]
+    assert sorted((r["id"], r["subject"], round(r["share"], 9)) for r in got) == [(i, s, round(x, 9)) for i, s, x in expected]
+    assert subjects.area_shares(spark.createDataFrame(rows[4:8], "id long, text string"), model).count() == 1
+
+
 def test_gradient_is_right():
     r = np.random.default_rng(3)
     model = subjects.new_model(["a", "b"])

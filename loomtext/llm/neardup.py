@@ -11,7 +11,8 @@ verified on their shingle sets.
 Records of one shingle set form a class that is indexed once. A posting with more than
 ``hot`` classes is never expanded: its classes go to finer postings, the hot block joined
 with each other block of the record, and so on, and only what still agrees on all
-levels is paired.
+levels is paired. The pairs that this loses are found by an exact prefix filter on the
+shingle sets of the classes in such postings.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,15 +132,48 @@ def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
+def _similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """All pairs ``a`` < ``b`` of ``id`` whose shingle sets may have the similarity, none that has it left out.
+
+    Exact prefix filter. Shingles are ordered by frequency, the rarest first, in all sets
+    alike. A pair of sizes x and y needs s / (1 + s) * (x + y) common shingles, so the first
+    common one has at least as many left from it on in both sets; other meetings are dropped
+    in the join. The shorter set thus needs only its rarest 1 - 2s / (1 + s), the longer one
+    its rarest 1 - s, and what most records share is mostly in neither.
+    """
+    schema = T.StructType([sets.schema["id"], T.StructField("g", T.LongType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data in enumerate(batch.column(1).to_pylist()):
+                g = np.frombuffer(data, np.int64)
+                for lo in range(0, g.size, 100_000):
+                    part = g[lo : lo + 100_000]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(part.size, i))), pa.array(part), pa.array(np.full(part.size, g.size))], ["id", "g", "n"])
+
+    each = durable(sets.mapInArrow(run, schema), "shingles")
+    # a shingle of one record meets nothing; it only counts as one of those that come first
+    often = each.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    own = Window.partitionBy("id")
+    ranked = each.join(often, "g").select("id", "g", "n", (F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "g")) - 1).alias("at"))
+    need = similarity / (1 + similarity)
+    early = durable(ranked.where(f"n - at >= {similarity} * n - 1e-6").select("id", "g", "n", (F.col("n") - F.col("at")).alias("left")), "prefixes")
+    short = early.where(f"left >= {2 * need} * n - 1e-6").select("g", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("left").alias("lx"))
+    long = early.select("g", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("left").alias("ly"))
+    met = short.join(long, "g").where(f"(nx < ny or nx = ny and x < y) and least(lx, ly) >= {need} * (nx + ny) - 1e-6")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _keys(sig: DataFrame, positions: int, block: int) -> DataFrame:
     """A row for each class and block: ``c``, the block's ``p`` and ``key``, its position and bytes."""
     blocks = F.transform(F.sequence(F.lit(0), F.lit(positions // block - 1)), lambda p: F.struct(p.alias("p"), F.xxhash64(p, F.substring("sig", p * block + 1, F.lit(block))).alias("key")))
     return sig.select("c", F.explode(blocks).alias("x")).select("c", "x.p", "x.key")
 
 
-def _candidates(reps: DataFrame, positions: int, block: int, hot: int, levels: int) -> DataFrame:
-    """Distinct pairs ``a`` < ``b`` of classes that share a posting."""
-    out = None
+def _candidates(reps: DataFrame, positions: int, block: int, hot: int, levels: int) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs ``a`` < ``b`` of classes that share a posting, and the classes ``c`` of
+    postings above ``hot``, whose pairs may be missing; None if there is no such posting."""
+    out = hot_classes = None
     keyed = _keys(reps, positions, block)
     for level in range(levels):
         # two values tell all of a posting of two, so the usual posting needs no list
@@ -161,9 +195,11 @@ def _candidates(reps: DataFrame, positions: int, block: int, hot: int, levels: i
         if limit is None or postings.where(F.col("size") > limit).isEmpty():
             break
         crowded = keyed.join(postings.where(F.col("size") > limit).select("key"), "key")
+        if level == 0:
+            hot_classes = durable(crowded.select("c").distinct(), "crowded")
         own = _keys(reps, positions, block).select("c", F.col("p").alias("q"), F.col("key").alias("own"))
         keyed = crowded.join(own, "c").where("p <> q").select("c", F.greatest("p", "q").alias("p"), F.xxhash64(F.col("key").bitwiseXOR(F.col("own"))).alias("key")).distinct()
-    return out.distinct()
+    return out.distinct(), hot_classes
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", title: str | None = "title", shingle: int = 5, similarity: float = 0.8, positions: int = 192, block: int = 3, hot: int = 256, levels: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -176,7 +212,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", titl
     left out. Rows repeated with one key count once.
 
     A pair of similarity s has no common posting with a chance of
-    (1 - s^block)^(positions / block): 2e-4 at 0.5, 1e-5 at 0.55, below 1e-16 at 0.8.
+    (1 - s^block)^(positions / block): 2e-4 at 0.5, 1e-5 at 0.55, below 1e-16 at 0.8. The size of a posting adds nothing to it.
     """
     rows = df.select(F.col(key).alias("id"), (F.col(title).cast("string") if title else F.lit(None).cast("string")).alias("title"), F.col(text).cast("string").alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").rlike(VISIBLE))
@@ -187,7 +223,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", titl
     # one id with several texts lead several classes, the least signature stands for it
     classes = signed.groupBy("class_hi", "class_lo").agg(F.min(F.struct("id", "n", "sig")).alias("r")).select(F.col("r.id").alias("c"), "r.n", "r.sig")
     reps = durable(classes.groupBy("c").agg(F.min(F.struct("n", "sig")).alias("r")).select("c", "r.n", "r.sig"), "classes")
-    pairs = _candidates(reps, positions, block, hot, levels)
+    pairs, crowded = _candidates(reps, positions, block, hot, levels)
+    if crowded is not None:
+        held = shingle_sets(rows.join(crowded.withColumnRenamed("c", "id"), "id", "left_semi"), shingle).dropDuplicates(["id"])
+        pairs = pairs.unionByName(_similar_sets(held, similarity)).distinct()
     need = least_matches(positions, similarity)
     side = lambda x: reps.select(F.col("c").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
     tallied = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")

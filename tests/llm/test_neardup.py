@@ -74,6 +74,28 @@ def test_crowded_postings_lose_nothing(spark):
     assert got == brute(rows, 3, 0.5)
 
 
+def test_pair_with_one_common_block_in_a_crowded_posting(spark, monkeypatch):
+    """Pairs that agree in two of three bytes of each block, and wholly in one that all records have."""
+    block = "concat(lpad(hex(id div 2), 2, '0'), lpad(hex(id div 2), 2, '0'), lpad(hex(id), 2, '0'))"
+    real = nd.signatures
+    monkeypatch.setattr(nd, "signatures", lambda *a: real(*a).selectExpr("id", "class_hi", "class_lo", "n", f"unhex(concat('000000', repeat({block}, 63))) as sig"))
+    rows = [(i, None, " ".join([f"u{i // 2}x{j}" for j in range(20)] + [f"own{i}"]), "e") for i in range(40)]
+    got, _ = pairs(spark, rows, shingle=3, similarity=0.5, hot=8)
+    assert got == brute(rows, 3, 0.5) == {(i, i + 1) for i in range(0, 40, 2)}
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8])
+def test_prefix_filter_loses_nothing(spark, least):
+    r = random.Random(9)
+    sets = [set(r.sample(range(40), r.randint(1, 30))) for _ in range(120)]
+    sets += [s ^ set(r.sample(range(40), 3)) for s in sets]
+    sets = [s or {1} for s in sets]
+    df = spark.createDataFrame([(i, bytearray(np.array(sorted(s), np.uint64).tobytes())) for i, s in enumerate(sets)], "id long, grams binary")
+    got = {tuple(x) for x in nd._similar_sets(df, least).collect()}
+    true = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+    assert true and true <= got and all(a < b for a, b in got)
+
+
 def test_exact_copies_form_one_class(spark):
     rows = [(i, None, "one two three four five six", "e") for i in range(50)] + [(99, None, "one two three four five six seven", "e")]
     links, members = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=3, similarity=0.5)

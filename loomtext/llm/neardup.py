@@ -9,10 +9,9 @@ signatures are tallied, pairs below the guaranteed minimum are dropped, and the
 verified on their shingle sets.
 
 Records of one shingle set form a class that is indexed once. A posting with more than
-``hot`` classes is never expanded: its classes go to finer postings, the hot block joined
-with each other block of the record, and so on, and only what still agrees on all
-levels is paired. The pairs that this loses are found by an exact prefix filter on the
-shingle sets of the classes in such postings.
+``hot`` classes is never expanded: the pairs among the classes of all such postings are
+found by an exact prefix filter on their shingle sets, in which what most of them share
+hardly takes part.
 """
 
 from __future__ import annotations
@@ -170,36 +169,21 @@ def _keys(sig: DataFrame, positions: int, block: int) -> DataFrame:
     return sig.select("c", F.explode(blocks).alias("x")).select("c", "x.p", "x.key")
 
 
-def _candidates(reps: DataFrame, positions: int, block: int, hot: int, levels: int) -> tuple[DataFrame, DataFrame | None]:
-    """Distinct pairs ``a`` < ``b`` of classes that share a posting, and the classes ``c`` of
-    postings above ``hot``, whose pairs may be missing; None if there is no such posting."""
-    out = hot_classes = None
+def _candidates(reps: DataFrame, positions: int, block: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs ``a`` < ``b`` of classes that share a posting of at most ``hot``, and the
+    classes ``c`` of larger postings, whose pairs may be missing; None if there is no such posting."""
     keyed = _keys(reps, positions, block)
-    for level in range(levels):
-        # two values tell all of a posting of two, so the usual posting needs no list
-        postings = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("a"), F.max("c").alias("b")).where("size > 1"), f"postings{level}")
-        found = postings.where("size = 2").select("a", "b")
-        limit = hot if level < levels - 1 else None
-        more = postings.where("size > 2" if limit is None else f"size between 3 and {limit}").select("key")
-        if not more.isEmpty():
-            # bounded lists; on the last level the records agree in so many bytes that nearly every pair is a result
-            held = keyed.join(more, "key").select("key", "c")
-            if limit is None:
-                pairs = held.join(held.select("key", F.col("c").alias("other")), "key").where("c < other").select(F.col("c").alias("a"), F.col("other").alias("b"))
-            else:
-                lists = held.groupBy("key").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-                lists = lists.select("cs", F.posexplode("cs").alias("at", "a"))
-                pairs = lists.select("a", F.explode(F.slice("cs", F.col("at") + 2, F.lit(hot))).alias("b"))
-            found = found.unionByName(pairs)
-        out = found if out is None else out.unionByName(found)
-        if limit is None or postings.where(F.col("size") > limit).isEmpty():
-            break
-        crowded = keyed.join(postings.where(F.col("size") > limit).select("key"), "key")
-        if level == 0:
-            hot_classes = durable(crowded.select("c").distinct(), "crowded")
-        own = _keys(reps, positions, block).select("c", F.col("p").alias("q"), F.col("key").alias("own"))
-        keyed = crowded.join(own, "c").where("p <> q").select("c", F.greatest("p", "q").alias("p"), F.xxhash64(F.col("key").bitwiseXOR(F.col("own"))).alias("key")).distinct()
-    return out.distinct(), hot_classes
+    # two values tell all of a posting of two, so the usual posting needs no list
+    postings = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("a"), F.max("c").alias("b")).where("size > 1"), "postings")
+    found = postings.where(f"size = 2 and size <= {hot}").select("a", "b")
+    more = postings.where(f"size between 3 and {hot}").select("key")
+    if not more.isEmpty():
+        lists = keyed.join(more, "key").groupBy("key").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+        lists = lists.select("cs", F.posexplode("cs").alias("at", "a"))
+        found = found.unionByName(lists.select("a", F.explode(F.slice("cs", F.col("at") + 2, F.lit(hot))).alias("b")))
+    large = postings.where(F.col("size") > hot).select("key")
+    crowded = None if large.isEmpty() else durable(keyed.join(large, "key").select("c").distinct(), "crowded")
+    return found.distinct(), crowded
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", title: str | None = "title", shingle: int = 5, similarity: float = 0.8, positions: int = 192, block: int = 3, hot: int = 256, levels: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -213,6 +197,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", titl
 
     A pair of similarity s has no common posting with a chance of
     (1 - s^block)^(positions / block): 2e-4 at 0.5, 1e-5 at 0.55, below 1e-16 at 0.8. The size of a posting adds nothing to it.
+    ``levels`` has no effect any more; it is kept for callers.
     """
     rows = df.select(F.col(key).alias("id"), (F.col(title).cast("string") if title else F.lit(None).cast("string")).alias("title"), F.col(text).cast("string").alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").rlike(VISIBLE))
@@ -223,7 +208,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", titl
     # one id with several texts lead several classes, the least signature stands for it
     classes = signed.groupBy("class_hi", "class_lo").agg(F.min(F.struct("id", "n", "sig")).alias("r")).select(F.col("r.id").alias("c"), "r.n", "r.sig")
     reps = durable(classes.groupBy("c").agg(F.min(F.struct("n", "sig")).alias("r")).select("c", "r.n", "r.sig"), "classes")
-    pairs, crowded = _candidates(reps, positions, block, hot, levels)
+    pairs, crowded = _candidates(reps, positions, block, hot)
     if crowded is not None:
         held = shingle_sets(rows.join(crowded.withColumnRenamed("c", "id"), "id", "left_semi"), shingle).dropDuplicates(["id"])
         pairs = pairs.unionByName(_similar_sets(held, similarity)).distinct()

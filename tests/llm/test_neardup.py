@@ -96,6 +96,30 @@ def test_prefix_filter_loses_nothing(spark, least):
     assert true and true <= got and all(a < b for a, b in got)
 
 
+def test_boilerplate_below_the_limit_is_not_paired(spark, monkeypatch):
+    """Half of the shingles in common is a similarity of a third: no result, and few candidates."""
+    r = random.Random(6)
+    rows = [(i, None, " ".join([f"c{j}" for j in range(60)] + [f"u{i}x{r.randrange(10**6)}" for _ in range(60)]), "e") for i in range(150)]
+    rows += [(i, None, rows[i - 1000][2] + " more", "e") for i in range(1000, 1010)]
+    seen = []
+
+    def counted(name):
+        inner = getattr(nd, name, None)
+        if inner:
+            def run(*a):
+                out = inner(*a)
+                seen.append((out[0] if isinstance(out, tuple) else out).count())
+                return out
+
+            monkeypatch.setattr(nd, name, run)
+
+    counted("_candidates")
+    counted("_similar_sets")
+    got, _ = pairs(spark, rows, shingle=3, similarity=0.5, hot=8)
+    assert got == brute(rows, 3, 0.5) == {(i, i + 1000) for i in range(10)}
+    assert sum(seen) < 1500 < len(rows) * (len(rows) - 1) // 2 // 8
+
+
 def test_exact_copies_form_one_class(spark):
     rows = [(i, None, "one two three four five six", "e") for i in range(50)] + [(99, None, "one two three four five six seven", "e")]
     links, members = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=3, similarity=0.5)

@@ -31,6 +31,15 @@ def test_term_results(spark, tasks):
     assert {r["term"]: (r["total_rows"], r["records"], r["positions"], r["heavy"]) for r in got} == brute(rows)
 
 
+def test_rows_are_counted_where_they_are_placed(spark, monkeypatch):
+    """Placed rows that are lost or doubled show in the number that decides what is heavy."""
+    real = skew.place
+    monkeypatch.setattr(skew, "place", lambda df, *a: (lambda x: x.unionByName(x))(real(df, *a)))
+    df = spark.createDataFrame(index_rows(), SCHEMA)
+    got = {r["term"]: r["total_rows"] for r in skew.term_results(df, 4).collect()}
+    assert got == {t: 2 * n for t, (n, *_) in brute(index_rows()).items()}
+
+
 def test_empty_and_null(spark):
     assert skew.term_results(spark.createDataFrame([], SCHEMA)).count() == 0
     assert skew.term_results(spark.createDataFrame([(None, "d", [1], 1)] * 3, SCHEMA)).count() == 0

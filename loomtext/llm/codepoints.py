@@ -130,15 +130,24 @@ def words_of(cps: np.ndarray, starts: np.ndarray, tables: CharTables) -> Words:
     return Words(hashes, first, last, np.searchsorted(first, starts))
 
 
-def grams_of(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``k`` words within a text, and per-text offsets."""
-    counts = np.maximum(np.diff(words.starts) - (k - 1), 0)
+def grams_of(words: Words, k: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``k`` words within a text, and per-text offsets.
+
+    With ``short`` the only run of a text of fewer words is the whole of it.
+    """
+    size = np.diff(words.starts)
+    counts = np.maximum(size - (k - 1), (size > 0) if short else 0).astype(np.int64)
     starts = np.zeros(counts.size + 1, dtype=np.int64)
     np.cumsum(counts, out=starts[1:])
     if not starts[-1]:
         return np.zeros(0, dtype=np.uint64), starts
     at = np.arange(starts[-1]) + np.repeat(words.starts[:-1] - starts[:-1], counts)
     h = words.hashes[at]
+    width = np.repeat(np.minimum(size, k), counts) if short else None
     for j in range(1, k):
-        h = mix(h * _GOLD + words.hashes[at + j])
+        if short:
+            more = width > j
+            h[more] = mix(h[more] * _GOLD + words.hashes[at[more] + j])
+        else:
+            h = mix(h * _GOLD + words.hashes[at + j])
     return h, starts

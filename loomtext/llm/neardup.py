@@ -70,7 +70,7 @@ def _text_of(title: str | None, text: str) -> str:
     return text if title is None else f"{title} {text}"
 
 
-def signatures(df: DataFrame, shingle: int, positions: int) -> DataFrame:
+def signatures(df: DataFrame, shingle: int, positions: int, short: bool = False) -> DataFrame:
     """``id``, ``class_hi`` and ``class_lo`` (128 bits of the shingle set), ``n`` shingles, ``sig``."""
     tables = df.sparkSession.sparkContext.broadcast(char_tables())
     a, b = permutations(positions)
@@ -80,7 +80,7 @@ def signatures(df: DataFrame, shingle: int, positions: int) -> DataFrame:
         for batch in batches:
             texts = [_text_of(ti, te) for ti, te in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             for lo, hi in chunked(texts):
-                grams, starts = grams_of(words_of(*explode(texts[lo:hi]), tables.value), shingle)
+                grams, starts = grams_of(words_of(*explode(texts[lo:hi]), tables.value), shingle, short)
                 grams, counts, doc = _distinct(grams, starts)
                 some = np.flatnonzero(counts)
                 begins = (np.cumsum(counts) - counts)[some]
@@ -94,7 +94,7 @@ def signatures(df: DataFrame, shingle: int, positions: int) -> DataFrame:
     return spread(df.select("id", "title", "text")).mapInArrow(run, schema)
 
 
-def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
+def shingle_sets(df: DataFrame, shingle: int, short: bool = False) -> DataFrame:
     """``id`` and ``grams``, the shingle set as sorted 64-bit hashes in one binary."""
     tables = df.sparkSession.sparkContext.broadcast(char_tables())
     schema = T.StructType([T.StructField("id", df.schema["id"].dataType), T.StructField("grams", T.BinaryType())])
@@ -103,7 +103,7 @@ def shingle_sets(df: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             texts = [_text_of(ti, te) for ti, te in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             for lo, hi in chunked(texts):
-                grams, counts, _ = _distinct(*grams_of(words_of(*explode(texts[lo:hi]), tables.value), shingle))
+                grams, counts, _ = _distinct(*grams_of(words_of(*explode(texts[lo:hi]), tables.value), shingle, short))
                 ends = np.cumsum(counts).tolist()
                 sets = [grams[e - c : e].tobytes() for e, c in zip(ends, counts.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], ["id", "grams"])
@@ -186,13 +186,14 @@ def _candidates(reps: DataFrame, positions: int, block: int, hot: int) -> tuple[
     return found.distinct(), crowded
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", title: str | None = "title", shingle: int = 5, similarity: float = 0.8, positions: int = 192, block: int = 3, hot: int = 256, levels: int = 3) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", title: str | None = "title", shingle: int = 5, similarity: float = 0.8, positions: int = 192, block: int = 3, hot: int = 256, levels: int = 3, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """Links between classes of records, and the class of each record.
 
     Returns ``links(class_a, class_b, similarity)``, every pair of classes whose shingle
     sets have at least the given similarity, and ``members(key, class_id)``; a class is named
     by its least key, and its records have equal shingle sets. A null or blank text and a
-    text of fewer than ``shingle`` words have no shingles and are in no class. A null title is
+    text of fewer than ``shingle`` words have no shingles and are in no class; with ``short`` a text
+    of fewer words, but one at least, has all its words as its only shingle. A null title is
     left out. Rows repeated with one key count once.
 
     A pair of similarity s has no common posting with a chance of
@@ -201,7 +202,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", titl
     """
     rows = df.select(F.col(key).alias("id"), (F.col(title).cast("string") if title else F.lit(None).cast("string")).alias("title"), F.col(text).cast("string").alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").rlike(VISIBLE))
-    signed = durable(signatures(rows, shingle, positions), "signatures")
+    signed = durable(signatures(rows, shingle, positions, short), "signatures")
     names = signed.groupBy("class_hi", "class_lo").agg(F.min("id").alias("c"))
     members = signed.select("id", "class_hi", "class_lo").join(names, ["class_hi", "class_lo"]).select(F.col("id").alias(key), F.col("c").alias("class_id")).distinct()
     # copies are reduced to their least record before the shuffle, however many there are; should
@@ -210,7 +211,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", titl
     reps = durable(classes.groupBy("c").agg(F.min(F.struct("n", "sig")).alias("r")).select("c", "r.n", "r.sig"), "classes")
     pairs, crowded = _candidates(reps, positions, block, hot)
     if crowded is not None:
-        held = shingle_sets(rows.join(crowded.withColumnRenamed("c", "id"), "id", "left_semi"), shingle).dropDuplicates(["id"])
+        held = shingle_sets(rows.join(crowded.withColumnRenamed("c", "id"), "id", "left_semi"), shingle, short).dropDuplicates(["id"])
         pairs = pairs.unionByName(_similar_sets(held, similarity)).distinct()
     need = least_matches(positions, similarity)
     side = lambda x: reps.select(F.col("c").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
@@ -218,7 +219,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", titl
     kept = durable(tallied.where(shared_bytes("sig_a", "sig_b") >= need).select("a", "b"), "pairs")
     wanted = kept.select(F.col("a").alias("id")).unionByName(kept.select(F.col("b").alias("id"))).distinct()
     n = wanted.limit(1_000_001).count()
-    sets = shingle_sets(rows.join(F.broadcast(wanted) if n <= 1_000_000 else wanted, "id", "left_semi"), shingle).dropDuplicates(["id"])
+    sets = shingle_sets(rows.join(F.broadcast(wanted) if n <= 1_000_000 else wanted, "id", "left_semi"), shingle, short).dropDuplicates(["id"])
     sets = durable(sets, "sets")
     exact = kept.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
     links = exact.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), jaccard("grams_a", "grams_b").alias("similarity")).where(F.col("similarity") >= similarity)

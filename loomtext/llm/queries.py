@@ -32,7 +32,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
-    links, members = neardup.near_duplicates(_table(spark, sf, "documents"))
+    links, members = neardup.near_duplicates(_table(spark, sf, "documents"), short=True)
     return neardup.groups(links, members)
 
 

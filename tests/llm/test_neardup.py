@@ -177,3 +177,13 @@ def test_groups_of_records(spark):
     links, members = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), shingle=3, similarity=0.7)
     got = {x["doc_id"]: (x["class_id"], x["group_id"], x["links"]) for x in nd.groups(links, members).collect()}
     assert got == {0: (0, 0, 1), 1: (1, 0, 2), 2: (2, 0, 2), 3: (3, 0, 1), 10: (0, 0, 1), 11: (11, 11, 0)}
+
+
+def test_short_copies_share_a_class(spark, tmp_path):
+    """Texts of fewer words than a shingle, by the registered query; those without words have no row."""
+    from loomtext.llm.queries import queries
+
+    rows = [(1, None, "Too short", "e"), (2, "too", "short!", "e"), (3, None, "too short a", "e"), (4, None, "short", "e"), (5, None, None, "e"), (6, None, " ", "e"), (7, None, "?!", "e"), (8, None, "too short a text of seven words", "e"), (9, None, "Short", "e")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: (x["class_id"], x["group_id"], x["links"]) for x in queries()["p3_groups"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, 1, 0), 2: (1, 1, 0), 3: (3, 3, 0), 4: (4, 4, 0), 8: (8, 8, 0), 9: (4, 4, 0)}

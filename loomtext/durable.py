@@ -3,7 +3,10 @@
 A durable table is written as Parquet below the shared folder named by
 ``spark.checkpoint.dir`` and read back, so a lost executor never loses it and the
 optimizer sees its true size. Only where the setting is absent (local tests) a
-temporary folder is used.
+temporary folder is used. All tables of an application lie in one folder of its own.
+
+A table lives until ``discard`` is called for it, the ``scope`` ends in which it was
+written, or Python ends.
 """
 
 from __future__ import annotations
@@ -11,10 +14,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_written: dict[str, SparkSession] = {}
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,29 +35,65 @@ def shared_folder(spark: SparkSession) -> str:
     return _local.setdefault("dir", tempfile.mkdtemp(prefix="loomtext-"))
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def _remove(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is None:
+        return
     try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the JVM may already be gone at exit; the folder is then the cluster's to clean
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.delete(target, True)
+        if not any(p.startswith(f"{path.rpartition('/')[0]}/") for p in _written):
+            fs.delete(target.getParent(), False)
+    except Exception:  # the JVM may already be gone at exit, or the folder hold something else; it is then the cluster's to clean
         pass
 
 
-def durable(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once and return a reader of the written table."""
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_written):
+        _remove(path)
+
+
+def durable(df: DataFrame, name: str = "table", codec: str = "zstd", kept: bool = False) -> DataFrame:
+    """Write ``df`` once and return a reader of the written table; a ``kept`` one outlives the scope."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/loomtext-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/loomtext-{spark.sparkContext.applicationId}{'-kept' if kept else ''}/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
     df.write.option("compression", codec).parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove durable tables that nothing will read any more; other frames are left alone."""
+    for t in tables:
+        if path := _path_of.pop(t, None):
+            _remove(path)
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Durable tables written inside are removed at the end, so results must be used or written by then."""
+    before = set(_written)
+    try:
+        yield
+    finally:
+        for path in [p for p in _written if p not in before and "-kept/" not in p]:
+            _remove(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on at least as many partitions as there are cores.
 
     A few small files would otherwise keep all work that follows on a few tasks. Input of
-    cluster size has more partitions than cores and is left as it is.
+    cluster size has more partitions than cores and is left as it is, and so is what comes
+    out of a shuffle: its partitions are the shuffle's, and asking an adaptive plan for their
+    number would run its stages.
     """
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if execution.toRdd().getNumPartitions() < cores else df

@@ -55,7 +55,7 @@ def _index(spark: SparkSession, sf: str, analyzer: Analyzer = RAW) -> ix.Index:
     key = (spark.sparkContext.applicationId, sf, analyzer)
     if key not in _indexes:
         ordered = {"postings": ["term", "doc_id"], "term_stats": ["term"], "doc_catalog": ["doc_id"]}
-        keep = lambda df, table: durable(df.repartitionByRange(*ordered[table]).sortWithinPartitions(*ordered[table]), table)
+        keep = lambda df, table: durable(df.repartitionByRange(*ordered[table]).sortWithinPartitions(*ordered[table]), table, kept=True)
         _indexes[key] = ix.build(_docs(spark, sf), analyzer).stored(keep)
     return _indexes[key]
 

@@ -2,9 +2,9 @@
 
 A text is the average of its word vectors; a word is its own vector plus the average of
 its character n-gram vectors; each area has an independent logistic output. Training is
-synchronous: every round each partition computes the gradient over its labelled
-documents, the driver sums the gradients and takes one step. First whole documents are
-the examples; then their sentences, each with the area among its document's labels that
+synchronous: every round each partition sums the gradient over its labelled documents, the
+partitions' sums are added up slice by slice on the executors, and the driver takes one step
+with the total, whose size depends on the model only. First whole documents are the examples; then their sentences, each with the area among its document's labels that
 the first model finds in it, which tells apart the areas of mixed documents. As the
 output is linear in the average, a trained model is a table of area scores for each word,
 which scores every sentence of every document in one pass; an area counts for a document
@@ -19,24 +19,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..durable import durable, spread
+from ..durable import discard, durable, spread
 from .canonical import canonical_texts, form_tables
 from .codepoints import CHUNK_CHARS, VISIBLE, char_tables, chunked, explode, mix, slots, words_of
 
 WORD_SLOTS, GRAM_SLOTS, DIM = 1 << 15, 1 << 15, 16
 GRAMS = (3, 4, 5)
-#: Bounds on the labelled texts used for training: of each stratum (language), and of all.
-PER_STRATUM, MAX_LABELLED = 2000, 8000
+#: Bounds on the labelled texts used for training: of each stratum (language), of all, and on their characters.
+PER_STRATUM, MAX_LABELLED, MAX_CHARS = 2000, 8000, 64_000_000
 #: Probability below which a sentence counts as one without an area, and above which as one with it.
 NO_AREA_BELOW, SOME_AREA_ABOVE = 0.02, 0.15
 #: Rounds and step size, over documents and then over sentences.
 DOCUMENT_ROUNDS, DOCUMENT_RATE, SENTENCE_ROUNDS, SENTENCE_RATE = 20, 0.1, 30, 0.05
-#: Partitions of the labelled sample, hence gradients gathered in a round.
-TRAIN_PARTITIONS = 8
+#: Partitions of the labelled sample, hence sums of gradients that a round adds up, each in so many slices.
+TRAIN_PARTITIONS, SLICES = 8, 16
 
 
 @dataclass
@@ -174,10 +174,15 @@ def _groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[first], first
 
 
-def gradient(f: dict[str, np.ndarray], y: np.ndarray, m: Model) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, float]:
-    """Sums over some texts: touched rows of both embeddings with their gradients, those of the outputs and the bias, and the loss.
+Touched = tuple[np.ndarray, np.ndarray]
 
-    Every word has an n-gram, as its edges count.
+
+def residuals(f: dict[str, np.ndarray], y: np.ndarray, m: Model) -> tuple[Touched, Touched, np.ndarray, np.ndarray, float]:
+    """Sums over some texts: touched slots of both embeddings with the errors of each area that
+    reach them, the gradients of the outputs and the bias, and the loss.
+
+    A slot's gradient is its errors times the outputs, so errors are summed first. Every word
+    has an n-gram, as its edges count.
     """
     many = np.diff(f["gram_ends"])[:, None].astype(np.float32)
     vectors = m.word[f["slot"]] + np.add.reduceat(m.gram[f["grams"]], f["gram_ends"][:-1]) / many
@@ -187,13 +192,54 @@ def gradient(f: dict[str, np.ndarray], y: np.ndarray, m: Model) -> tuple[list[tu
     p = _sigmoid(x @ m.out + m.bias)
     loss = -float((y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).sum())
     g = (p - y).astype(np.float32)
-    back = np.repeat(g @ m.out.T, np.diff(np.append(begins, f["doc"].size)), axis=0) * f["share"][:, None]
-    d = np.add.reduceat(back[f["by_word"]], _groups(f["word"][f["by_word"]])[1])
+    back = np.repeat(g, np.diff(np.append(begins, f["doc"].size)), axis=0) * f["share"][:, None]
+    e = np.add.reduceat(back[f["by_word"]], _groups(f["word"][f["by_word"]])[1])
     rows, first = _groups(f["slot"][f["by_slot"]])
-    word = (rows, np.add.reduceat(d[f["by_slot"]], first))
+    word = (rows, np.add.reduceat(e[f["by_slot"]], first))
     rows, first = _groups(f["grams"][f["by_gram"]])
-    gram = (rows, np.add.reduceat((d / many)[f["gram_word"]], first))
-    return [word, gram], x.T @ g, g.sum(axis=0), loss
+    gram = (rows, np.add.reduceat((e / many)[f["gram_word"]], first))
+    return word, gram, x.T @ g, g.sum(axis=0), loss
+
+
+def gradient(f: dict[str, np.ndarray], y: np.ndarray, m: Model) -> tuple[list[Touched], np.ndarray, np.ndarray, float]:
+    """Touched rows of both embeddings with their gradients, those of the outputs and the bias, and the loss."""
+    word, gram, out, bias, loss = residuals(f, y, m)
+    return [(word[0], word[1] @ m.out.T), (gram[0], gram[1] @ m.out.T)], out, bias, loss
+
+
+class Total:
+    """Sum of the residuals of many examples: a row for each word and n-gram slot, then the outputs and the bias."""
+
+    def __init__(self, areas: int):
+        self.sums = np.zeros((WORD_SLOTS + GRAM_SLOTS + DIM + 1, areas), np.float32)
+
+    def add(self, word: Touched, gram: Touched, out: np.ndarray, bias: np.ndarray) -> None:
+        self.sums[word[0]] += word[1]
+        self.sums[WORD_SLOTS + gram[0]] += gram[1]
+        self.sums[WORD_SLOTS + GRAM_SLOTS : -1] += out
+        self.sums[-1] += bias
+
+    def slices(self) -> pa.RecordBatch:
+        """A row for each slice: its number, and its sums, each row to 11 bits of its largest one."""
+        parts = np.array_split(self.sums, SLICES)
+        return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([_shorten(x) for x in parts], pa.binary())], ["slice", "sums"])
+
+    def gradients(self, m: Model) -> list[np.ndarray]:
+        word, gram, out, bias = np.split(self.sums, [WORD_SLOTS, WORD_SLOTS + GRAM_SLOTS, self.sums.shape[0] - 1])
+        return [word @ m.out.T, gram @ m.out.T, out, bias[0]]
+
+
+def _shorten(x: np.ndarray) -> bytes:
+    """Rows as half floats of their largest value, zero rows left out."""
+    some = np.flatnonzero(x.any(axis=1)).astype(np.int32)
+    scale = np.abs(x[some]).max(axis=1, initial=0).astype(np.float32)
+    return np.int32(some.size).tobytes() + some.tobytes() + scale.tobytes() + (x[some] / scale[:, None]).astype(np.float16).tobytes()
+
+
+def _add_shortened(x: np.ndarray, data: bytes) -> None:
+    n = int(np.frombuffer(data, np.int32, 1)[0])
+    rows, scale = np.frombuffer(data, np.int32, n, 4), np.frombuffer(data, np.float32, n, 4 + 4 * n)
+    x[rows] += np.frombuffer(data, np.float16, n * x.shape[1], 4 + 8 * n).reshape(n, -1) * scale[:, None]
 
 
 class Adam:
@@ -270,18 +316,25 @@ def _pack(arrays: dict[str, np.ndarray]) -> bytes:
     return out.getvalue()
 
 
-def _unpack(data: bytes) -> dict[str, np.ndarray]:
+def _unpack(data: bytes | pa.Buffer) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(data)) as x:
         return dict(x)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, stratum: str | None, per_stratum: int, at_most: int) -> DataFrame:
-    """Labelled texts, at most about ``per_stratum`` of each stratum, chosen by the hash of their key."""
+def _sample(docs: DataFrame, labels: DataFrame, stratum: str | None, per_stratum: int, at_most: int, most_chars: int) -> DataFrame:
+    """Labelled texts, at most about ``per_stratum`` of each stratum, chosen by the hash of their key.
+
+    Whole texts are taken in the order of the hash up to ``at_most`` of them and ``most_chars`` in all.
+    """
     known = docs.select("id", *([F.lower(F.substring(F.trim(stratum), 1, 2)).alias("s")] if stratum else [F.lit(None).cast("string").alias("s")])).where("id is not null")
     keyed = known.join(labels.select("id"), "id", "left_semi").select("id", F.coalesce("s", F.lit("")).alias("s"))
     share = keyed.groupBy("s").count().select("s", (F.lit(per_stratum) / F.col("count")).alias("share"))
     kept = keyed.join(share, "s").where(F.pmod(F.xxhash64("id", F.lit("pick")), F.lit(1_000_000)) < F.col("share") * 1_000_000)
-    chosen = durable(kept.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(at_most), "chosen")
+    first = kept.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(at_most)
+    sizes = docs.join(F.broadcast(first), "id").groupBy("id").agg(F.max(F.length("text")).cast("long").alias("chars"))
+    # at most ``at_most`` rows
+    running = F.sum("chars").over(Window.orderBy(F.xxhash64("id"), "id"))
+    chosen = durable(sizes.withColumn("running", running).where(F.col("running") <= most_chars).select("id"), "chosen")
     texts = docs.select("id", "text").join(F.broadcast(chosen), "id").groupBy("id").agg(F.max("text").alias("text"))
     return texts.join(labels.join(F.broadcast(chosen), "id"), "id")
 
@@ -305,52 +358,72 @@ def _examples(sample: DataFrame, areas: list[str], model: Model | None) -> DataF
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([_pack(found[0] | {"y": found[1]})], pa.binary()), pa.array([len(found[1])], pa.int64())], ["f", "n"])
 
-    return durable(sample.mapInArrow(index, "f binary, n long"), "examples")
+    out = durable(sample.mapInArrow(index, "f binary, n long"), "examples")
+    tables.destroy()
+    return out
+
+
+def _round(examples: DataFrame, model: Model) -> Total:
+    """The residuals of all examples: a sum for each partition, then one for each slice, on the executors."""
+    areas = len(model.areas)
+    sent = examples.sparkSession.sparkContext.broadcast(model)
+
+    def push(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Total(areas)
+        for b in batches:
+            for data in b.column(0):
+                f = _unpack(data.as_buffer())
+                own.add(*residuals(f, f.pop("y"), sent.value)[:4])
+        yield own.slices()
+
+    def merge(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in parts:
+            for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if i not in held:
+                    held[i] = np.zeros_like(np.array_split(Total(areas).sums, SLICES)[i])
+                _add_shortened(held[i], data)
+        for i, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_shorten(x)], pa.binary())], ["slice", "sums"])
+
+    sums = examples.select("f").mapInArrow(push, "slice int, sums binary").repartition(SLICES, "slice").mapInArrow(merge, "slice int, sums binary")
+    total = Total(areas)
+    parts = np.array_split(total.sums, SLICES)
+    for row in sums.collect():  # SLICES rows
+        _add_shortened(parts[row["slice"]], row["sums"])
+    sent.destroy()
+    return total
 
 
 def _fit(examples: DataFrame, model: Model, rounds: int, rate: float) -> None:
-    """Synchronous steps; each round gathers one gradient from each block of examples."""
-    context = examples.sparkSession.sparkContext
+    """Synchronous steps; a round brings the driver one sum of all gradients, sized by the model alone."""
     n = examples.agg(F.sum("n")).first()[0]
     if not n:
         return
     adam = Adam(model, rate)
     for _ in range(rounds):
-        sent = context.broadcast(model)
-
-        def push(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for data in b.column(0).to_pylist():
-                    f = _unpack(data)
-                    (word, gram), out, bias, _ = gradient(f, f.pop("y"), sent.value)
-                    yield pa.RecordBatch.from_arrays([pa.array([_pack({"wr": word[0], "w": word[1], "gr": gram[0], "g": gram[1], "out": out, "bias": bias})], pa.binary())], ["g"])
-
-        total = [np.zeros_like(a) for a in model.arrays()]
-        for row in examples.select("f").mapInArrow(push, "g binary").collect():
-            g = _unpack(row[0])
-            total[0][g["wr"]] += g["w"]
-            total[1][g["gr"]] += g["g"]
-            total[2] += g["out"]
-            total[3] += g["bias"]
-        adam.step(model, [g / n for g in total])
-        sent.destroy()
-
-
-def train(docs: DataFrame, labels: DataFrame, areas: list[str], stratum: str | None = None, per_stratum: int = PER_STRATUM, at_most: int = MAX_LABELLED) -> Model:
+        adam.step(model, [g / n for g in _round(examples, model).gradients(model)])
+
+
+def train(docs: DataFrame, labels: DataFrame, areas: list[str], stratum: str | None = None, per_stratum: int = PER_STRATUM, at_most: int = MAX_LABELLED, most_chars: int = MAX_CHARS) -> Model:
     """Fit a model on a bounded sample of labelled texts.
 
     ``docs`` has ``id``, ``text`` and the optional ``stratum`` (its first two letters count),
     ``labels`` has ``id`` and ``subject``; labels are compared in lower case without blanks
-    around, and repeated, null and unknown ones are left out. Gradients are summed over the
-    blocks of ``TRAIN_PARTITIONS`` partitions; their number and size don't grow with the data.
+    around, and repeated, null and unknown ones are left out. The sample is bounded in texts and
+    characters; gradients are summed over ``TRAIN_PARTITIONS`` partitions and then on the
+    executors, so what reaches the driver grows neither with the texts nor with their number.
     """
     model = new_model(areas)
     clean = labels.select("id", F.lower(F.trim("subject")).alias("subject")).where(F.col("subject").isin(areas) & F.col("id").isNotNull())
     known = clean.groupBy("id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
-    sample = _sample(docs.where(F.col("text").rlike(VISIBLE)), known, stratum, per_stratum, at_most)
+    sample = _sample(docs.where(F.col("text").rlike(VISIBLE)), known, stratum, per_stratum, at_most, most_chars)
     sample = durable(sample.select("text", "subjects").repartition(TRAIN_PARTITIONS, "text"), "sample")
-    _fit(_examples(sample, areas, None), model, DOCUMENT_ROUNDS, DOCUMENT_RATE)
-    _fit(_examples(sample, areas, model), model, SENTENCE_ROUNDS, SENTENCE_RATE)
+    for start, rounds, rate in ((None, DOCUMENT_ROUNDS, DOCUMENT_RATE), (model, SENTENCE_ROUNDS, SENTENCE_RATE)):
+        examples = _examples(sample, areas, start)
+        _fit(examples, model, rounds, rate)
+        discard(examples)
+    discard(sample)
     return model
 
 

@@ -103,6 +103,34 @@ def test_gradient_is_right():
     assert bias.shape == (2,)
 
 
+def test_rounds_add_up_and_are_bounded(spark):
+    """A round's total is the sum over all texts, and its size depends on the model only."""
+    r = random.Random(5)
+    model = subjects.new_model(["law", "music", "sport"])
+    sizes = []
+    for words in (20, 5000):
+        texts = [(" ".join(f"w{r.randrange(3000)}" for _ in range(words)), r.sample(model.areas, 1)) for _ in range(40)]
+        sample = spark.createDataFrame(texts, "text string, subjects array<string>").repartition(5)
+        got = subjects._round(subjects._examples(sample, model.areas, None), model).gradients(model)
+        y = np.array([[a in own for a in model.areas] for _, own in texts], np.float32)
+        (word, gram), out, bias, _ = subjects.gradient(*subjects.document_examples([t for t, _ in texts], y, char_tables()), model)
+        whole = [np.zeros_like(a) for a in model.arrays()]
+        whole[0][word[0]], whole[1][gram[0]], whole[2], whole[3] = word[1], gram[1], out, bias
+        for a, b in zip(got, whole):
+            assert np.abs(a - b).max() <= 2e-3 * max(1, np.abs(b).max())
+        total = subjects.Total(3)
+        total.sums[:] = 1
+        sizes.append(max(len(x) for x in total.slices().column(1).to_pylist()))
+    assert sizes[0] == sizes[1] <= (subjects.WORD_SLOTS + subjects.GRAM_SLOTS + subjects.DIM + 1) / subjects.SLICES * 15 + 32
+
+
+def test_sample_is_bounded_in_characters(spark):
+    docs = spark.createDataFrame([(i, "word " * 100) for i in range(50)], "id long, text string")
+    labels = docs.select("id").selectExpr("id", "array('a') as subjects")
+    assert subjects._sample(docs, labels, None, 100, 100, 10_000).count() == 20
+    assert subjects._sample(docs, labels, None, 100, 7, 10_000).count() == 7
+
+
 def test_sentences():
     text = 'One here. "Two?" he said! 3.5 is the 45. one since 1990. So is this…\nNext line without stop\n\nLast'
     cps, starts = explode([text, "Other text. End."])

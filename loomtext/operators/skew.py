@@ -20,10 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import durable
+from ..durable import discard, durable
 
 #: Buckets of light keys and most heavy keys, for each task.
 BUCKETS_PER_TASK, HEAVY_PER_TASK = 16, 4
+#: Rows, and characters of keys, of a matching side that may be broadcast.
+BROADCAST_ROWS, BROADCAST_CHARS = 500_000, 8_000_000
 
 
 @dataclass(frozen=True)
@@ -63,21 +65,27 @@ def pack_units(units: list[tuple[object, int, float]], tasks: int) -> tuple[dict
     return placed, {t: used for used, t in heap}
 
 
-def plan_fragments(df: DataFrame, key: str, tasks: int | None = None) -> FragmentPlan:
-    """Count loads and place keys. A null key is a key of its own."""
+def plan_fragments(df: DataFrame, key: str, tasks: int | None = None, loads: DataFrame | None = None) -> FragmentPlan:
+    """Count loads and place keys. A null key is a key of its own.
+
+    ``loads`` with ``key`` and ``n``, cheap to read several times, saves the counting.
+    """
     spark = df.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    loads = durable(df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")), "loads")
+    counted = durable(df.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")), "loads") if loads is None else None
+    loads = loads if counted is None else counted
     total = loads.agg(F.sum("n")).first()[0] or 0
     limit = total / (HEAVY_PER_TASK * tasks)
     # fewer than HEAVY_PER_TASK * tasks keys can exceed the limit, and there are as many buckets as said above
     heavy = [(r["key"], r["n"]) for r in loads.where(F.col("n") > limit).collect()]
     light = loads.where(F.col("n") <= limit).groupBy(_bucket(F.col("key"), tasks).alias("bucket")).agg(F.sum("n").alias("n")).collect()
+    key_type = loads.schema["key"].dataType.simpleString()
+    if counted is not None:
+        discard(counted)
     share = max(1.0, total / tasks)
     units = [(("heavy", i), min(tasks, math.ceil(2 * n / share)), float(n)) for i, (_, n) in enumerate(heavy)]
     units += [(("light", r["bucket"]), 1, float(r["n"])) for r in light]
     placed, used = pack_units(units, tasks)
-    key_type = loads.schema["key"].dataType.simpleString()
     heavy_table = spark.createDataFrame([(k, placed["heavy", i]) for i, (k, _) in enumerate(heavy)], f"key {key_type}, tasks array<int>")
     light_table = spark.createDataFrame([(r["bucket"], placed["light", r["bucket"]][0]) for r in light], "bucket int, at int")
     return FragmentPlan(tasks, heavy_table, light_table, used, total)
@@ -125,6 +133,19 @@ def fragment_replicate_join(left: DataFrame, right: DataFrame, key: str, spread:
     return place(left, key, plan, spread).join(replicate(right, key, plan), ["_task", key], how)
 
 
+def uneven_join(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner", loads: DataFrame | None = None) -> DataFrame:
+    """Join ``left``, whose keys may be very uneven, with ``right``, where ``key`` comes once; neither side gathers a key in one task.
+
+    ``right``, cheap to read twice, is broadcast if it is counted to be small, which moves no
+    row of ``left``; otherwise ``left`` is placed by load. ``right`` may have a few columns of
+    fixed size besides ``key``, a string or a number.
+    """
+    rows, chars = right.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.col(key).cast("string"))), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS:
+        return left.join(F.broadcast(right), key, how)
+    return fragment_replicate_join(left, right, key, spread, how, plan=plan_fragments(left, key, loads=loads)).drop("_task")
+
+
 def fragment_aggregate(placed: DataFrame, key: str, partial: list[Column], final: list[Column]) -> DataFrame:
     """Per-key results of placed rows: ``partial`` where they lie, then ``final`` over one row for each shard."""
     return placed.groupBy("_task", key).agg(*partial).groupBy(key).agg(*final)

@@ -64,6 +64,26 @@ def test_join_equals_plain_join(spark, how):
     assert sorted(map(str, got.select(expected.columns).collect())) == sorted(map(str, expected.collect()))
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_uneven_join(spark, monkeypatch, how):
+    """Broadcast where the matching side is counted to be small, placed by load beyond that; the same rows."""
+    left = spark.createDataFrame([("a", i) for i in range(200)] + [("b", 1), ("c", 2), (None, 3), ("b", 1)], "k string, v int")
+    right = spark.createDataFrame([("a", "x"), ("b", "z"), ("q", "w")], "k string, w string")
+    loads = left.groupBy(F.col("k").alias("key")).agg(F.count("*").alias("n"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    small = skew.uneven_join(left, right, "k", ["v"], how)
+    assert "BroadcastHashJoin" in plan(small) and "Exchange hash" not in plan(small)
+    expected = sorted(map(str, left.join(right, "k", how).collect()))
+    assert sorted(map(str, small.collect())) == expected
+    for name in ("BROADCAST_ROWS", "BROADCAST_CHARS"):
+        with monkeypatch.context() as m:
+            m.setattr(skew, name, 2)
+            for given in (None, loads):
+                large = skew.uneven_join(left, right, "k", ["v"], how, given)
+                assert "passthrough" in plan(large) and large.columns == small.columns
+                assert sorted(map(str, large.collect())) == expected
+
+
 def test_join_refuses(spark):
     df = spark.createDataFrame([("a", 1)], "k string, v int")
     with pytest.raises(ValueError):

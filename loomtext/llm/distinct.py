@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.skew import fragment_replicate_join
+from ..durable import durable
+from ..operators.skew import uneven_join
 from .frequency import clean_index
 
 PARAMETERS = "term string, records long, elite_share double, elite_mean double, other_mean double"
@@ -50,7 +51,10 @@ def fit_two_poisson(count: np.ndarray, times: np.ndarray, starts: np.ndarray, ro
 
 
 def term_mixtures(rows: DataFrame, total: int) -> DataFrame:
-    """``PARAMETERS`` of each term of rows ``term``, ``term_count``; ``total`` is the number of records."""
+    """``PARAMETERS`` of each term of rows ``term``, ``term_count``; ``total`` is the number of records.
+
+    A term whose only count is null or zero has null parameters.
+    """
     histogram = rows.groupBy("term", F.coalesce("term_count", F.lit(0)).cast("long").alias("count")).agg(F.count(F.lit(1)).alias("times"))
     # a histogram has at most as many entries as there are distinct counts of a term
     grouped = histogram.groupBy("term").agg(F.collect_list(F.struct("count", "times")).alias("h")).select("term", "h.count", "h.times")
@@ -85,21 +89,26 @@ def characteristic_terms(index: DataFrame, catalog: DataFrame, reserved: str = "
     Terms are compared in lower case without blanks around; null terms and records and the
     reserved key are left out; of several rows of a term and record the latest counts,
     repeated rows once. A null count has null scores, though its record counts for df. An
-    empty catalog gives null scores. Frequent terms are joined in shards.
+    empty catalog gives null scores. The index is cleaned once; the parameters of all terms are
+    broadcast if they are counted to be few, and else frequent terms are joined in shards.
     """
-    rows = clean_index(index, reserved)
+    rows = durable(clean_index(index, reserved), "postings")
     total = catalog.select("doc_id").where("doc_id is not null").distinct().count()
-    joined = fragment_replicate_join(rows, term_mixtures(rows, total), "term", ["doc_id"])
+    mixtures = durable(term_mixtures(rows, total), "mixtures")
+    joined = uneven_join(rows, mixtures, "term", ["doc_id"], loads=mixtures.select(F.col("term").alias("key"), F.col("records").alias("n")))
     k = F.col("term_count")
     other = (1 - F.col("elite_share")) / F.col("elite_share") * F.exp(F.col("elite_mean") - F.col("other_mean") + k * (F.ln("other_mean") - F.ln("elite_mean")))
     score = F.when(F.lit(total) > 0, F.round(k * F.ln(F.lit(float(total)) / F.col("records")), 6))
     return joined.select("doc_id", "term", "term_count", "records", score.alias("score"), F.round(1 / (1 + other), 6).alias("elite"))
 
 
+def elite_terms(scored: DataFrame, least: float = 0.5) -> DataFrame:
+    """``doc_id``, ``term`` and ``elite`` where the record is among the term's elite with that probability at least."""
+    return scored.where(F.col("elite") >= least).select("doc_id", "term", "elite")
+
+
 def top_terms(scored: DataFrame) -> DataFrame:
     """``doc_id`` and ``term`` of the highest positive score of each record, all ties included."""
-    from pyspark.sql import Window
-
     # a record has at most one row for each distinct term, and the window spills
     best = F.max("score").over(Window.partitionBy("doc_id"))
     return scored.where("score > 0").withColumn("best", best).where("score = best").select("doc_id", "term")

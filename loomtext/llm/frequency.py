@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,24 +82,25 @@ def _containers(term: pa.Array, record: np.ndarray, times: np.ndarray) -> pa.Rec
 SCHEMA = "term string, container long, bitmap binary, times long"
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of rows ``term``, ``record``, ``times``, combined over many rows at a time."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= COMBINED_ROWS:
+            yield from _combined(held)
+            held, n = [], 0
+    if n:
+        yield from _combined(held)
+
+
 def bitmap_frequencies(rows: DataFrame) -> DataFrame:
     """``term``, ``occurrences`` and ``records`` of rows ``term``, ``record`` (a long) and ``times``.
 
     The same term and record may come on several rows; their times add up.
     """
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            held.append(b)
-            n += b.num_rows
-            if n >= COMBINED_ROWS:
-                yield from _combined(held)
-                held, n = [], 0
-        if n:
-            yield from _combined(held)
-
-    return _merged(rows.select("term", "record", F.col("times").cast("long").alias("times")).mapInArrow(build, SCHEMA))
+    return _merged(rows.select("term", "record", F.col("times").cast("long").alias("times")).mapInArrow(_bitmaps, SCHEMA))
 
 
 def _combined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +115,24 @@ def _merged(bitmaps: DataFrame) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("times").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def record_numbers(ids: DataFrame) -> DataFrame:
-    """``doc_id`` and ``record``, a number for each distinct id, dense within a partition."""
-    return ids.select("doc_id").where("doc_id is not null").distinct().sortWithinPartitions("doc_id").withColumn("record", F.monotonically_increasing_id())
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``doc_id``, ``term``, ``times``, ordered by the first, with a number for each distinct one in its place.
+
+    Numbers are dense within a task, and tasks have ranges of their own.
+    """
+    from pyspark import TaskContext
+
+    number, last = (TaskContext.get().partitionId() << 33) - 1, None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column(0)
+        new = np.ones(b.num_rows, bool)
+        new[0] = last is None or ids[0].as_py() != last
+        new[1:] = pc.not_equal(ids.slice(1), ids.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+        record = number + np.cumsum(new)
+        number, last = int(record[-1]), ids[b.num_rows - 1].as_py()
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(record), b.column(2)], ["term", "record", "times"])
 
 
 def marked(counts: DataFrame, total: int, rare_below: int = RARE_BELOW, common_above: float = COMMON_ABOVE) -> DataFrame:
@@ -131,18 +148,34 @@ def index_frequencies(index: DataFrame, catalog: DataFrame, reserved: str = "__a
     latest counts (a repeated row counts once); a null count adds no occurrence but its
     record does count. ``common`` is measured against the distinct ids of ``catalog``.
     """
-    rows = clean_index(index, reserved)
-    numbers = record_numbers(rows)
     total = catalog.select("doc_id").where("doc_id is not null").distinct().count()
-    numbered = rows.join(numbers, "doc_id").select("term", "record", F.coalesce("term_count", F.lit(0)).alias("times"))
-    return marked(bitmap_frequencies(numbered), total)
+    rows = clean_index(index, reserved).select("doc_id", "term", F.coalesce("term_count", F.lit(0)).cast("long").alias("times"))
+    # a record's rows lie in one task, one for each of its terms, so numbers need no join
+    ordered = rows.repartition("doc_id").sortWithinPartitions("doc_id")
+    return marked(_merged(ordered.mapInArrow(lambda batches: _bitmaps(_numbered(batches)), SCHEMA)), total)
+
+
+def _micros(df: DataFrame, time: str) -> Column:
+    """A time as microseconds; one without a zone is taken as it is, whatever the session's zone."""
+    if not isinstance(df.schema[time].dataType, T.TimestampNTZType):
+        return F.unix_micros(F.col(time).cast("timestamp"))
+    return (F.expr(f"cast(cast(`{time}` - timestamp_ntz'1970-01-01' as interval second) as decimal(18, 6))") * 1_000_000).cast("long")
 
 
 def clean_index(index: DataFrame, reserved: str) -> DataFrame:
-    """The latest row of each term and record: ``term``, ``doc_id``, ``term_count``; ties go to the larger count."""
-    rows = index.select(F.lower(F.trim("term")).alias("term"), "doc_id", F.struct(F.col("written_at"), F.col("term_count")).alias("v"))
+    """The latest row of each term and record: ``term``, ``doc_id``, ``term_count``; ties go to the larger count.
+
+    A row without a time is the oldest, and a null count less than any.
+    """
+    rows = index.select(F.lower(F.trim("term")).alias("term"), "doc_id", _micros(index, "written_at").alias("at"), F.col("term_count").cast("int").alias("n"))
     rows = rows.where((F.col("term") != reserved) & F.col("doc_id").isNotNull())
-    return rows.groupBy("term", "doc_id").agg(F.max("v").alias("v")).select("term", "doc_id", F.col("v.term_count").alias("term_count"))
+    # time and count as one number, as only such aggregates are hashed: 64 bits above 33
+    below = F.lit(2**33).cast("decimal(11,0)")
+    at = F.coalesce("at", F.lit(-(2**63))).cast("decimal(20,0)")
+    version = (at * below + F.coalesce(F.col("n").cast("long") + 2**31 + 1, F.lit(0)).cast("decimal(11,0)")).cast("decimal(38,0)")
+    latest = rows.groupBy("term", "doc_id").agg(F.max(version).alias("v"))
+    low = F.pmod("v", below).cast("long")
+    return latest.select("term", "doc_id", F.when(low > 0, low - 2**31 - 1).cast("int").alias("term_count"))
 
 
 def text_frequencies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -155,8 +188,6 @@ def text_frequencies(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     total = df.select(key).where(F.col(key).isNotNull()).distinct().count()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
         held, n = [], 0
         for b in batches:
             for lo in range(0, b.num_rows, 2000):

@@ -44,6 +44,10 @@ def p4_scores(spark: SparkSession, sf: str) -> DataFrame:
     return distinct.characteristic_terms(_table(spark, sf, "inverted_index"), _table(spark, sf, "doc_catalog"))
 
 
+def p4_elite(spark: SparkSession, sf: str) -> DataFrame:
+    return distinct.elite_terms(p4_scores(spark, sf))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_terms(spark, sf).where("mark is not null").select("term", "mark")
 
@@ -87,7 +91,7 @@ def p8_canonical(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_shares": p1_shares, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_scores": p4_scores, "p5_found": p5_found, "p5_terms": p5_terms, "p5_words": p5_words, "p6_found": p6_found, "p6_pack": p6_pack, "p6_vocabulary_pack": p6_vocabulary_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_canonical": p8_canonical}
+    return {"p1_found": p1_found, "p1_shares": p1_shares, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_scores": p4_scores, "p4_elite": p4_elite, "p5_found": p5_found, "p5_terms": p5_terms, "p5_words": p5_words, "p6_found": p6_found, "p6_pack": p6_pack, "p6_vocabulary_pack": p6_vocabulary_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_canonical": p8_canonical}
 
 
 _INDEX = """
@@ -103,6 +107,30 @@ size AS (SELECT count(DISTINCT doc_id) AS n FROM doc_catalog)"""
 
 _MARK = "CASE WHEN records < 3 THEN 'rare' WHEN records > 0.2 * n THEN 'common' END"
 
+#: The two-Poisson mixture of each term, 50 rounds of expectation-maximisation over its histogram as lists.
+_MIXTURES = f"""
+{_INDEX},
+bars AS (SELECT term, coalesce(v.c, 0)::DOUBLE AS k, count(*)::DOUBLE AS t FROM rows GROUP BY ALL),
+zeros AS (SELECT term, 0::DOUBLE AS k, greatest(n - records, 0)::DOUBLE AS t FROM counts, size),
+h AS (
+    SELECT term, list({{'k': k, 't': t}} ORDER BY k) AS bars, sum(t) AS total, sum(t * k) AS hits, sum(t) FILTER (k > 0) AS positive
+    FROM (SELECT * FROM bars UNION ALL SELECT * FROM zeros) GROUP BY term HAVING sum(t * k) > 0),
+em AS (
+    SELECT term, 0 AS i, greatest(least(positive / total / 2, 0.5), 1e-12) AS share, greatest(hits / positive, hits / total) + 0.5 AS high, greatest(hits / total / 4, 1e-12) AS low FROM h
+    UNION ALL
+    SELECT term, i + 1, greatest(least(n / total, 1 - 1e-9), 1e-12), greatest(found / greatest(n, 1e-300), 1e-12), greatest((hits - found) / greatest(total - n, 1e-9), 1e-12)
+    FROM (
+        SELECT term, i, total, hits, list_sum(list_transform(e, lambda x: x.n)) AS n, list_sum(list_transform(e, lambda x: x.n * x.k)) AS found
+        FROM (
+            SELECT term, i, total, hits, list_transform(bars, lambda x: {{'k': x.k, 'n': x.t / (1 + exp(-greatest(least(ln(share) - ln(1 - share) - high + low + x.k * (ln(high) - ln(low)), 700), -700)))}}) AS e
+            FROM em JOIN h USING (term) WHERE i < 50))),
+mixtures AS (
+    SELECT term, CASE WHEN high < low THEN 1 - share ELSE share END AS share, greatest(high, low) AS high, least(high, low) AS low FROM em WHERE i = 50),
+scored AS (
+    SELECT doc_id, term, v.c AS term_count, records, round(v.c * ln(n::DOUBLE / records), 6) AS score,
+           round(1 / (1 + (1 - share) / share * exp(high - low + v.c * (ln(low) - ln(high)))), 6) AS elite
+    FROM rows JOIN counts USING (term) LEFT JOIN mixtures USING (term), size)"""
+
 _SIZED = r"""
 sized AS (
     SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')) AS size
@@ -145,6 +173,8 @@ def oracle_sql() -> dict[str, str]:
                 FROM rows JOIN counts USING (term), size)
             SELECT doc_id, term FROM scored WHERE score > 0
             QUALIFY score = max(score) OVER (PARTITION BY doc_id)""",
+        "p4_scores": f"WITH RECURSIVE {_MIXTURES} SELECT * FROM scored",
+        "p4_elite": f"WITH RECURSIVE {_MIXTURES} SELECT doc_id, term, elite FROM scored WHERE elite >= 0.5",
         "p5_found": f"WITH {_INDEX} SELECT term, {_MARK} AS mark FROM counts, size WHERE mark IS NOT NULL",
         "p5_terms": f"WITH {_INDEX} SELECT term, occurrences, records, {_MARK} AS mark FROM counts, size",
         "p5_words": f"""

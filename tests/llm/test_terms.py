@@ -49,6 +49,33 @@ def test_index_frequencies(tables):
     assert got == {t: (counts[t], len(x), mark(len(x))) for t, x in docs.items()}
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_latest_row(spark, kind):
+    """The latest time counts, then the larger count; no time is the oldest, no count the least."""
+    t = lambda s: datetime(1969, 12, 31, 23, 59, 59) + timedelta(microseconds=s)
+    cases = {"a": ([(t(5), 1), (t(6), 0), (t(4), 9)], 0), "b": ([(t(5), 1), (t(5), 7), (t(5), None)], 7), "c": ([(None, 8), (t(-(10**15)), 2)], 2), "d": ([(None, 8), (None, 9)], 9), "e": ([(t(7), None), (t(6), 3)], None), "f": ([(None, None)], None), "g": ([(t(1), -4), (t(1), -5)], -4), "h": ([(datetime(2400, 1, 1), 2**31 - 1), (t(0), 1)], 2**31 - 1)}
+    rows = [(k, "d", n, at) for k, (versions, _) in cases.items() for at, n in versions]
+    df = spark.createDataFrame(rows, f"term string, doc_id string, term_count int, written_at {kind}")
+    got = {r["term"]: r["term_count"] for r in frequency.clean_index(df, "__all_docs__").collect()}
+    assert got == {k: n for k, (_, n) in cases.items()}
+    assert "SortAggregate" not in frequency.clean_index(df, "x")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_without_broadcast(tables, monkeypatch):
+    """Frequent terms are joined in shards where the parameters are too many to broadcast."""
+    expected = sorted(map(str, distinct.characteristic_terms(*tables).collect()))
+    monkeypatch.setattr("loomtext.operators.skew.BROADCAST_ROWS", 3)
+    got = distinct.characteristic_terms(*tables)
+    assert sorted(map(str, got.collect())) == expected
+    assert "passthrough" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_elite_terms(tables):
+    scored = distinct.characteristic_terms(*tables)
+    got = {(r["doc_id"], r["term"]) for r in distinct.elite_terms(scored).collect()}
+    assert got == {(r["doc_id"], r["term"]) for r in scored.collect() if r["elite"] is not None and r["elite"] >= 0.5} != set()
+
+
 def test_scores(tables):
     got = {(r["doc_id"], r["term"]): r for r in distinct.characteristic_terms(*tables).collect()}
     counts = latest(index_rows())

@@ -36,7 +36,7 @@ NO_AREA_BELOW, SOME_AREA_ABOVE = 0.02, 0.15
 #: Rounds and step size, over documents and then over sentences.
 DOCUMENT_ROUNDS, DOCUMENT_RATE, SENTENCE_ROUNDS, SENTENCE_RATE = 20, 0.1, 30, 0.05
 #: Partitions of the labelled sample, hence sums of gradients that a round adds up, each in so many slices.
-TRAIN_PARTITIONS, SLICES = 8, 16
+TRAIN_PARTITIONS, SLICES = 8, 4
 
 
 @dataclass

@@ -14,7 +14,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
@@ -74,13 +74,22 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def scope() -> Iterator[None]:
-    """Durable tables written inside are removed at the end, so results must be used or written by then."""
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Durable tables written inside are removed at the end, so results must be used or written by then.
+
+    What is entered is a function that excepts a table; an outer scope still ends it.
+    """
     before = set(_written)
+    spared: set[str] = set()
+
+    def spare(table: DataFrame) -> DataFrame:
+        spared.add(_path_of[table])
+        return table
+
     try:
-        yield
+        yield spare
     finally:
-        for path in [p for p in _written if p not in before and "-kept/" not in p]:
+        for path in [p for p in _written if p not in before | spared and "-kept/" not in p]:
             _remove(path)
 
 

@@ -27,6 +27,16 @@ def test_scope_and_discard(spark):
     assert folders(spark) == before
 
 
+def test_a_spared_table_ends_with_the_outer_scope(spark):
+    before = folders(spark)
+    with scope():
+        with scope() as spare:
+            one, two = durable(spark.range(3), "one"), spare(durable(spark.range(4), "two"))
+            assert one.count() == 3
+        assert two.count() == 4 and len(folders(spark) - before) == 1
+    assert folders(spark) == before
+
+
 def test_a_query_leaves_nothing_behind(spark):
     from loomtext.queries import p2_terms
 

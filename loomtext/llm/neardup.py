@@ -4,14 +4,14 @@ A record becomes the set of its word shingles. Its signature has one byte for ea
 ``positions`` min-wise hash functions, so two records of similarity s agree at a position
 with probability s (and 1/256 of the rest). The inverted index maps blocks of
 ``block`` neighbouring bytes with their position to records; records that share a posting
-are candidates. For each candidate pair the shared positional bytes of the whole
-signatures are tallied, pairs below the guaranteed minimum are dropped, and the rest are
-verified on their shingle sets.
+are candidates. For each candidate pair the shared positional bytes are tallied, over half
+of the signatures and then over the whole of them, pairs below the guaranteed minimum are
+dropped, and the rest are verified on their shingle sets.
 
 Records of one shingle set form a class that is indexed once. A posting with more than
 ``hot`` classes is never expanded: the pairs among the classes of all such postings are
 found by an exact prefix filter on their shingle sets, in which what most of them share
-hardly takes part.
+hardly takes part. No task sends more than a few entries of such a posting on.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..durable import durable, spread
+from ..durable import discard, durable, scope, spread
 from .codepoints import VISIBLE, char_tables, chunked, explode, grams_of, words_of
 
 
@@ -111,24 +111,36 @@ def shingle_sets(df: DataFrame, shingle: int, short: bool = False) -> DataFrame:
     return df.select("id", "title", "text").mapInArrow(run, schema)
 
 
+def _bytes_of(v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values behind each other, and where each begins and the last ends."""
+    ends = np.frombuffer(v.buffers()[1], np.int32, len(v) + 1, 4 * v.offset)
+    data = v.buffers()[2]
+    flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return flat[ends[0] : ends[-1]], ends.astype(np.int64) - int(ends[0])
+
+
 @F.arrow_udf(T.IntegerType())
 def shared_bytes(a: pa.Array, b: pa.Array) -> pa.Array:
     """Positions at which two signatures agree."""
     if not len(a):
         return pa.array([], pa.int32())
-    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(a), -1) for v in (a, b))
+    x, y = (_bytes_of(v)[0].reshape(len(a), -1) for v in (a, b))
     return pa.array((x == y).sum(axis=1).astype(np.int32))
 
 
 @F.arrow_udf(T.DoubleType())
 def jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Intersection over union of two sorted sets."""
-    out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist()):
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = np.intersect1d(x, y, assume_unique=True).size
-        out.append(both / (x.size + y.size - both))
-    return pa.array(out, pa.float64())
+    """Intersection over union of two sets, each without repeats."""
+    if not len(a):
+        return pa.array([], pa.float64())
+    (x, ex), (y, ey) = _bytes_of(a), _bytes_of(b)
+    nx, ny = np.diff(ex) // 8, np.diff(ey) // 8
+    values = np.concatenate([np.frombuffer(v.tobytes(), np.uint64) for v in (x, y)])
+    row = np.concatenate([np.repeat(np.arange(len(a)), n) for n in (nx, ny)])
+    order = np.lexsort((values, row))
+    values, row = values[order], row[order]
+    both = np.bincount(row[1:][(values[1:] == values[:-1]) & (row[1:] == row[:-1])], minlength=len(a))
+    return pa.array(both / np.maximum(nx + ny - both, 1))
 
 
 def _similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
@@ -163,27 +175,114 @@ def _similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _keys(sig: DataFrame, positions: int, block: int) -> DataFrame:
-    """A row for each class and block: ``c``, the block's ``p`` and ``key``, its position and bytes."""
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(positions // block - 1)), lambda p: F.struct(p.alias("p"), F.xxhash64(p, F.substring("sig", p * block + 1, F.lit(block))).alias("key")))
-    return sig.select("c", F.explode(blocks).alias("x")).select("c", "x.p", "x.key")
+def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, its size, and the place of each entry in its run."""
+    new = np.ones(sorted_keys.size, bool)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, sorted_keys.size))
+    return first, size, np.arange(sorted_keys.size) - np.repeat(first, size)
+
+
+def _entries(reps: DataFrame, positions: int, block: int, hot: int) -> DataFrame:
+    """Index entries ``key``, a position and its bytes as a number, and ``c``, the class.
+
+    Of a posting that exceeds ``hot`` in one Arrow batch alone only one more than that are
+    sent on; the classes of the others come with a negative key, a different one each.
+    """
+    if positions % block or 8 * block + (positions // block).bit_length() > 62:
+        raise ValueError("a key is a position and a block of at most a few bytes, and blocks fill the signature")
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("c", reps.schema["c"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig = _bytes_of(b.column(1))[0].reshape(b.num_rows, -1, block)
+            key = np.broadcast_to(np.arange(sig.shape[1], dtype=np.int64), sig.shape[:2])
+            for j in range(block):
+                key = key * 256 + sig[:, :, j]
+            key = key.ravel()
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], order // sig.shape[1]
+            beyond = _runs(key)[2] > hot
+            left = np.unique(row[beyond])
+            keys = np.concatenate([key[~beyond], -1 - np.arange(left.size)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(np.concatenate([row[~beyond], left])))], ["key", "c"])
+
+    return reps.select("c", "sig").mapInArrow(run, schema)
+
+
+def _met(entries: DataFrame, hot: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of classes in a posting of at most ``hot``; a class of a larger one with a null ``b``.
+
+    A task reads its postings in order and holds one at a time, the large ones not even whole.
+    """
+    c = entries.schema["c"].dataType
+    schema = T.StructType([T.StructField("a", c), T.StructField("b", c)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def crowd(ids: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), ids.type)], ["a", "b"])
+
+        held_key, held, large = None, None, False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, ids = b.column(0).to_numpy(), b.column(1)
+            if large and (same := int(np.searchsorted(key, held_key, "right"))):
+                yield crowd(ids.slice(0, same))
+                key, ids = key[same:], ids.slice(same)
+                if not len(ids):
+                    continue
+            if held is not None and len(held):
+                key, ids = np.concatenate([np.full(len(held), held_key), key]), pa.concat_arrays([held, ids])
+            first, size, place = _runs(key)
+            held_key, held, large = int(key[-1]), ids.slice(int(first[-1])), False
+            yield from _pairs(ids.slice(0, int(first[-1])), key[: first[-1]], first[:-1], size[:-1], place[: first[-1]], hot, crowd)
+            if len(held) > hot or held_key < 0:
+                yield crowd(held)
+                held, large = held.slice(0, 0), True
+        if held is not None and len(held):
+            n = len(held)
+            yield from _pairs(held, np.full(n, held_key), np.array([0]), np.array([n]), np.arange(n), hot, crowd)
+
+    return entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def _pairs(ids: pa.Array, key: np.ndarray, first: np.ndarray, size: np.ndarray, place: np.ndarray, hot: int, crowd) -> Iterator[pa.RecordBatch]:
+    """Each entry with all that follow it in its posting."""
+    if not len(ids):
+        return
+    whole = np.repeat(size, size)
+    out = (whole > hot) | (key < 0)
+    if out.any():
+        yield crowd(ids.take(pa.array(np.flatnonzero(out))))
+    after = np.where(out, 0, whole - 1 - place)
+    cuts = np.searchsorted(np.cumsum(after), np.arange(0, after.sum(), 1_000_000))
+    for lo, hi in zip(cuts, [*cuts[1:], after.size]):
+        n = after[lo:hi]
+        if not n.any():
+            continue
+        left = np.repeat(np.arange(lo, hi), n)
+        right = left + 1 + np.arange(left.size) - np.repeat(np.cumsum(n) - n, n)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(right))], ["a", "b"])
 
 
 def _candidates(reps: DataFrame, positions: int, block: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
     """Distinct pairs ``a`` < ``b`` of classes that share a posting of at most ``hot``, and the
     classes ``c`` of larger postings, whose pairs may be missing; None if there is no such posting."""
-    keyed = _keys(reps, positions, block)
-    # two values tell all of a posting of two, so the usual posting needs no list
-    postings = durable(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("a"), F.max("c").alias("b")).where("size > 1"), "postings")
-    found = postings.where(f"size = 2 and size <= {hot}").select("a", "b")
-    more = postings.where(f"size between 3 and {hot}").select("key")
-    if not more.isEmpty():
-        lists = keyed.join(more, "key").groupBy("key").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-        lists = lists.select("cs", F.posexplode("cs").alias("at", "a"))
-        found = found.unionByName(lists.select("a", F.explode(F.slice("cs", F.col("at") + 2, F.lit(hot))).alias("b")))
-    large = postings.where(F.col("size") > hot).select("key")
-    crowded = None if large.isEmpty() else durable(keyed.join(large, "key").select("c").distinct(), "crowded")
-    return found.distinct(), crowded
+    met = durable(_met(_entries(reps, positions, block, hot), hot), "met")
+    found = met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    crowded = met.where("b is null").select(F.col("a").alias("c"))
+    return found, None if crowded.isEmpty() else crowded.distinct()
+
+
+def _tallied(pairs: DataFrame, reps: DataFrame, similarity: float, positions: int) -> DataFrame:
+    """Pairs of which the first ``positions`` bytes agree in the guaranteed minimum, and that may be similar by size."""
+    side = lambda x: reps.select(F.col("c").alias(x), F.substring("sig", 1, positions).alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
+    return joined.where(shared_bytes("sig_a", "sig_b") >= least_matches(positions, similarity)).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", title: str | None = "title", shingle: int = 5, similarity: float = 0.8, positions: int = 192, block: int = 3, hot: int = 256, levels: int = 3, short: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -203,20 +302,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", titl
     rows = df.select(F.col(key).alias("id"), (F.col(title).cast("string") if title else F.lit(None).cast("string")).alias("title"), F.col(text).cast("string").alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("text").rlike(VISIBLE))
     signed = durable(signatures(rows, shingle, positions, short), "signatures")
-    names = signed.groupBy("class_hi", "class_lo").agg(F.min("id").alias("c"))
+    # copies are counted down to their least record inside each task, however many there are
+    names = durable(signed.groupBy("class_hi", "class_lo").agg(F.min("id").alias("c")), "names")
     members = signed.select("id", "class_hi", "class_lo").join(names, ["class_hi", "class_lo"]).select(F.col("id").alias(key), F.col("c").alias("class_id")).distinct()
-    # copies are reduced to their least record before the shuffle, however many there are; should
-    # one id with several texts lead several classes, the least signature stands for it
-    classes = signed.groupBy("class_hi", "class_lo").agg(F.min(F.struct("id", "n", "sig")).alias("r")).select(F.col("r.id").alias("c"), "r.n", "r.sig")
-    reps = durable(classes.groupBy("c").agg(F.min(F.struct("n", "sig")).alias("r")).select("c", "r.n", "r.sig"), "classes")
-    pairs, crowded = _candidates(reps, positions, block, hot)
-    if crowded is not None:
-        held = shingle_sets(rows.join(crowded.withColumnRenamed("c", "id"), "id", "left_semi"), shingle, short).dropDuplicates(["id"])
-        pairs = pairs.unionByName(_similar_sets(held, similarity)).distinct()
-    need = least_matches(positions, similarity)
-    side = lambda x: reps.select(F.col("c").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
-    tallied = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
-    kept = durable(tallied.where(shared_bytes("sig_a", "sig_b") >= need).select("a", "b"), "pairs")
+    # should one id with several texts lead several classes, the least class stands for it
+    leads = names.groupBy("c").agg(F.min(F.struct("class_hi", "class_lo")).alias("class"))
+    led = signed.join(leads, signed["id"] == leads["c"]).where("class_hi = class.class_hi and class_lo = class.class_lo")
+    with scope() as spare:
+        reps = durable(led.select("c", "n", "sig").dropDuplicates(["c"]), "classes")
+        pairs, crowded = _candidates(reps, positions, block, hot)
+        if crowded is not None:
+            held = shingle_sets(rows.join(crowded.withColumnRenamed("c", "id"), "id", "left_semi"), shingle, short).dropDuplicates(["id"])
+            pairs = pairs.unionByName(_similar_sets(held, similarity)).distinct()
+        kept = spare(durable(_tallied(_tallied(pairs, reps, similarity, positions // 2), reps, similarity, positions), "pairs"))
     wanted = kept.select(F.col("a").alias("id")).unionByName(kept.select(F.col("b").alias("id"))).distinct()
     n = wanted.limit(1_000_001).count()
     sets = shingle_sets(rows.join(F.broadcast(wanted) if n <= 1_000_000 else wanted, "id", "left_semi"), shingle, short).dropDuplicates(["id"])
@@ -251,7 +349,8 @@ def components(links: DataFrame, a: str = "class_a", b: str = "class_b") -> Data
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = durable(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        last, edges = edges, durable(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        discard(last)
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break

@@ -84,6 +84,54 @@ def test_pair_with_one_common_block_in_a_crowded_posting(spark, monkeypatch):
     assert got == brute(rows, 3, 0.5) == {(i, i + 1) for i in range(0, 40, 2)}
 
 
+def test_any_limit_on_postings_gives_the_same_pairs(spark):
+    """Boilerplate in all records, pairs just above the limit: at any ``hot``, and in small batches."""
+    r = random.Random(12)
+    common = [f"c{i}" for i in range(50)]
+    rows = []
+    for i in range(0, 60, 2):
+        own = [f"u{i}x{j}" for j in range(50)]
+        rows.append((i, None, " ".join(common + own), "e"))
+        other = list(own)
+        for j in r.sample(range(50), 8):
+            other[j] = f"o{i}x{j}"
+        rows.append((i + 1, None, " ".join(common + other), "e"))
+    expected = brute(rows, 3, 0.5)
+    assert len(expected) == 30
+    for hot in (2, 16, 256, 10**9):
+        assert pairs(spark, rows, shingle=3, similarity=0.5, hot=hot)[0] == expected
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for hot in (3, 5, 100):
+            assert pairs(spark, rows, shingle=3, similarity=0.5, hot=hot)[0] == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_postings_are_paired_or_crowded(spark):
+    """Every posting by brute force: its pairs if it is small, else all its classes."""
+    r = np.random.default_rng(2)
+    sig = r.integers(0, 2, (90, 12), dtype=np.uint8)
+    sig[:, :3] = 7
+    reps = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sig)], "c long, sig binary").repartition(3)
+    postings = {}
+    for i, x in enumerate(sig):
+        for p in range(4):
+            postings.setdefault((p, x[3 * p : 3 * p + 3].tobytes()), []).append(i)
+    for hot, size in ((4, "10"), (12, "10"), (12, "1000"), (200, "7")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            entries = nd._entries(reps, 12, 3, hot)
+            met = nd._met(entries, hot).collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        pairs_of = {p for x in postings.values() if len(x) <= hot for p in itertools.combinations(x, 2)}
+        assert {(min(m), max(m)) for m in met if m["b"] is not None} == pairs_of
+        assert {m["a"] for m in met if m["b"] is None} == {c for x in postings.values() if len(x) > hot for c in x}
+        if size == "1000" and hot == 12:
+            assert entries.groupBy("key").count().agg({"count": "max"}).first()[0] <= 3 * (hot + 1)
+
+
 @pytest.mark.parametrize("least", [0.5, 0.8])
 def test_prefix_filter_loses_nothing(spark, least):
     r = random.Random(9)

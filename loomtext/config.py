@@ -6,8 +6,11 @@ from dataclasses import dataclass
 from enum import Enum
 
 
+# The members of the five axes and their letters in identifiers.
+
+
 class Info(Enum):
-    """What a posting holds."""
+    """What a posting holds: positions; also their count; also the document's length, for weights."""
 
     BOOLEAN = "1"
     WORDCOUNT = "2"
@@ -54,8 +57,13 @@ PARQUET = {
 
 @dataclass(frozen=True)
 class IndexConfig:
-    """``optimization`` means: SKIPPING adds skip targets to the stored postings, THRESHOLDING drops
-    scores below ``least_score``, EARLY_STOPPING ends with ``most_hits`` results."""
+    """``info`` decides what postings are stored with, ``store`` where.
+
+    ``optimization`` means: SKIPPING adds skip targets to the stored postings; THRESHOLDING drops
+    scores below ``least_score``; EARLY_STOPPING stops looking for documents once ``most_hits``
+    are certain: ranked retrieval takes the terms from the rarest on and scores only documents
+    of the first ones that promise so many, Boolean retrieval returns the first ones it meets.
+    """
 
     core: str = "SelfIndex"
     info: Info = Info.TFIDF

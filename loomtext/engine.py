@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .config import IndexConfig
 from .functions.analyze import CLEAN, Analyzer
-from .operators.index import Index, Shelf
+from .operators.index import Index
 from .operators.measure import searcher
 from .operators.search import results_json
+from .operators.shelf import Shelf
 from .ship import ship
 
 Documents = DataFrame | Iterable[tuple[str, str]]
@@ -49,7 +50,7 @@ class SearchEngine:
 
     def query(self, query: str) -> str:
         """The results as a JSON array of objects with ``doc_id`` and ``score``."""
-        return results_json(self.search(query)).first()["json"]
+        return results_json(self.search(query), self.config.most_hits).first()["json"]
 
     def delete_index(self, index_id: str) -> None:
         self.shelf.delete(index_id)

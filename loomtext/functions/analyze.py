@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import spread
+from ..durable import durable, spread
+from ..operators.skew import uneven_join
 from .porter import stem_words
 
 # English stop words that consist of letters.
@@ -86,8 +87,9 @@ def positions(docs: DataFrame, analyzer: Analyzer = CLEAN) -> DataFrame:
     tokens = spread(docs).select("doc_id", F.posexplode(word_tokens(F.col("content"), analyzer.stop_words)).alias("pos", "term"))
     if not analyzer.stem:
         return tokens
-    stems = stem_words(tokens.select("term").distinct())
-    return tokens.join(stems, "term").select("doc_id", "pos", F.col("stem").alias("term"))
+    # the stems of all words are broadcast if they are few; a frequent word is never gathered in a task
+    stems = durable(stem_words(tokens.select("term").distinct()), "stems")
+    return uneven_join(tokens, stems, "term", ["doc_id"]).select("doc_id", "pos", F.col("stem").alias("term"))
 
 
 def analyze_words(spark, words: list[str], analyzer: Analyzer) -> dict[str, list[str]]:

@@ -1,10 +1,11 @@
-"""Positional inverted index: build, weights, physical features, and its life on disk.
+"""Positional inverted index: build, weights and physical features.
 
 An index is three tables: ``postings(term, doc_id, term_count, positions, doc_len)``, kept in
 ranges of terms so that row-group statistics answer a lookup; ``term_stats(term, df)``; and
 ``doc_catalog(doc_id, doc_len)``, which also holds documents without terms. A posting
 repeats its document's length, so ranking joins nothing of the catalog's size. Weights
-depend on the whole collection, so they are computed when read, never stored.
+depend on the whole collection, so they are computed when read, never stored. A join on the
+term never gathers a frequent one in a task. ``shelf.py`` keeps indexes on disk.
 """
 
 from __future__ import annotations
@@ -16,16 +17,14 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import PARQUET, Codec, IndexConfig, Optimization, Store
 from ..durable import durable, spread
 from ..functions.analyze import CLEAN, Analyzer, word_tokens
 from ..functions.porter import stem_words
 from ..sources.corpus import numbered
-
-TABLES = ("postings", "term_stats", "doc_catalog")
+from .skew import uneven_join
 
 
 @dataclass(frozen=True)
@@ -64,19 +63,39 @@ def build(docs: DataFrame, analyzer: Analyzer = CLEAN) -> Index:
     """
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "content").where("doc_id is not null")
     tokens = spread(docs).select("doc_id", word_tokens(F.col("content"), analyzer.stop_words).alias("tokens"))
-    # the length is taken before exploding, or each token's row would carry all tokens; an inner
-    # explode would have the optimizer test the array's size, hence tokenize, once more at the scan
-    placed = tokens.withColumn("doc_len", F.size("tokens")).select("doc_id", "doc_len", F.posexplode_outer("tokens").alias("pos", "term")).where("term is not null")
-    surface = placed.groupBy("term", "doc_id").agg(F.collect_list("pos").alias("positions"), F.max("doc_len").alias("doc_len"))
+    surface = tokens.mapInArrow(_row_postings, "term string, doc_id string, positions array<int>, doc_len int")
     if analyzer.stem:
         # words of one stem are merged after grouping, when there are fewer rows than tokens
         surface = durable(surface, "surface")
-        stems = stem_words(surface.select("term").distinct())
-        surface = surface.join(stems, "term").groupBy(F.col("stem").alias("term"), "doc_id").agg(F.flatten(F.collect_list("positions")).alias("positions"), F.max("doc_len").alias("doc_len"))
-    postings = surface.select("term", "doc_id", F.size("positions").alias("term_count"), F.sort_array("positions").alias("positions"), "doc_len")
+        stems = durable(stem_words(surface.select("term").distinct()), "stems")
+        surface = uneven_join(surface, stems, "term", ["doc_id"]).select(F.col("stem").alias("term"), "doc_id", "positions", "doc_len")
+    # a document's rows were grouped where they lay; this adds up words of one stem and rows of one document
+    merged = surface.groupBy("term", "doc_id").agg(F.flatten(F.collect_list("positions")).alias("positions"), F.max("doc_len").alias("doc_len"))
+    postings = merged.select("term", "doc_id", F.size("positions").alias("term_count"), F.sort_array("positions").alias("positions"), "doc_len")
     return Index(postings, document_frequency(postings), doc_lengths(postings, docs.select("doc_id")), analyzer)
 
 
+def _row_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of each row ``doc_id``, ``tokens`` by itself, some 200,000 tokens at a time."""
+    for b in batches:
+        ends = b.column(1).offsets.to_numpy()
+        cuts = np.searchsorted(ends, np.arange(ends[0], ends[-1], 200_000))
+        for lo, hi in zip(cuts, [*cuts[1:], b.num_rows]):
+            if hi <= lo or ends[hi] == ends[lo]:
+                continue
+            size = np.diff(ends[lo : hi + 1])
+            doc = np.repeat(np.arange(lo, hi), size)
+            coded = b.column(1).values.slice(int(ends[lo]), int(ends[hi] - ends[lo])).dictionary_encode()
+            code = coded.indices.to_numpy()
+            at = (np.arange(doc.size) - np.repeat(ends[lo:hi] - ends[lo], size)).astype(np.int32)
+            order = np.lexsort((at, code, doc))
+            doc, code, at = doc[order], code[order], at[order]
+            first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])))
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, at.size).astype(np.int32)), pa.array(at))
+            length = pa.array(size[doc[first] - lo].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(code[first])), b.column(0).take(pa.array(doc[first])), places, length], ["term", "doc_id", "positions", "doc_len"])
+
+
 def doc_lengths(postings: DataFrame, ids: DataFrame) -> DataFrame:
     """``doc_id`` and ``doc_len``, 0 without postings, of all distinct ids."""
     lengths = postings.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len"))
@@ -96,9 +115,16 @@ def tf(count: Column, length: Column) -> Column:
     return F.when(length > 0, count / length).otherwise(F.lit(0.0))
 
 
+def with_lengths(index: Index, postings: DataFrame) -> DataFrame:
+    """Postings with ``doc_len``, from the catalog where the stored form leaves it out."""
+    return postings if "doc_len" in postings.columns else postings.join(index.doc_catalog.select("doc_id", "doc_len"), "doc_id")
+
+
 def weights(index: Index, postings: DataFrame | None = None) -> DataFrame:
     """Postings with ``tf``, ``idf`` and ``tfidf``; those of some terms only if ``postings`` are given."""
-    joined = (index.postings if postings is None else postings).join(index.term_stats, "term")
+    stats = index.term_stats
+    postings = with_lengths(index, index.postings if postings is None else postings)
+    joined = uneven_join(postings, stats, "term", ["doc_id"], loads=stats.select(F.col("term").alias("key"), F.col("df").alias("n")))
     weighted = joined.withColumn("tf", tf(F.col("term_count"), F.col("doc_len"))).withColumn("idf", idf(F.col("df"), index.size[0]))
     return weighted.withColumn("tfidf", F.col("tf") * F.col("idf")).drop("df", "doc_len")
 
@@ -109,8 +135,9 @@ def skip_targets(postings: DataFrame) -> DataFrame:
     A frequent term is ordered in ranges over many tasks, not in one.
     """
     placed = numbered(postings, "term", "doc_id").withColumnRenamed("ordinal", "_global")
-    terms = placed.groupBy("term").agg(F.min("_global").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    out = placed.join(terms, "term").withColumn("ordinal", F.col("_global") - F.col("_first"))
+    terms = durable(placed.groupBy("term").agg(F.min("_global").alias("_first"), F.count(F.lit(1)).alias("_n")), "terms")
+    joined = uneven_join(placed, terms, "term", ["doc_id"], loads=terms.select(F.col("term").alias("key"), F.col("_n").alias("n")))
+    out = joined.withColumn("ordinal", F.col("_global") - F.col("_first"))
     to = F.col("ordinal") + F.floor(F.sqrt("_n")).cast("long")
     return out.withColumn("skip_to", F.when(to < F.col("_n"), to)).drop("_global", "_first", "_n")
 
@@ -160,87 +187,6 @@ def vbyte_sizes(gaps: DataFrame) -> DataFrame:
     return gaps.groupBy("term").agg(F.count(F.lit(1)).alias("postings"), F.sum(length).alias("bytes"))
 
 
-class Shelf:
-    """Stored indexes below a root folder of any Hadoop file system.
-
-    Each index is a folder of versions. A version is complete once its catalog, written last,
-    is; readers take the newest complete one, so an update never disturbs them and a failed
-    one leaves nothing to repair.
-    """
-
-    def __init__(self, spark: SparkSession, root: str, config: IndexConfig | None = None):
-        self.spark, self.root, self.config = spark, root.rstrip("/"), config or IndexConfig()
-
-    def _path(self, *parts: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
-
-    def _fs(self):
-        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _names(self, *parts: str) -> list[str]:
-        fs, path = self._fs(), self._path(*parts)
-        return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
-
-    def versions(self, index_id: str) -> list[str]:
-        """Complete versions, oldest first."""
-        return [v for v in self._names(index_id) if self._fs().exists(self._path(index_id, v, "doc_catalog", "_SUCCESS"))]
-
-    def save(self, index: Index, index_id: str) -> str:
-        """Write a new version and drop all but the one before it."""
-        number = len(self._names(index_id)) and int(self._names(index_id)[-1][1:]) + 1
-        base = f"{self.root}/{index_id}/v{number:06d}"
-        options = PARQUET[self.config.codec]
-
-        def keep(df: DataFrame, table: str) -> DataFrame:
-            path = f"{base}/{table}"
-            if table == "postings" and self.config.optimization is Optimization.SKIPPING:
-                df = skip_targets(df)
-            if table == "postings" and self.config.store is Store.DB1:
-                # buckets by term let later joins on the term run without an exchange
-                name = f"{index_id}_{self.config.short_id}_postings".lower()
-                df.write.mode("overwrite").options(**options).option("path", path).bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "term").sortBy("term").saveAsTable(name)
-            else:
-                key = {"postings": ["term", "doc_id"], "term_stats": ["term"], "doc_catalog": ["doc_id"]}[table]
-                df.repartitionByRange(*key).sortWithinPartitions(*key).write.options(**options).parquet(path)
-            return self.spark.read.parquet(path)
-
-        index.stored(keep)
-        for old in self.versions(index_id)[:-2]:
-            self._fs().delete(self._path(index_id, old), True)
-        return base
-
-    def create(self, index_id: str, docs: DataFrame, analyzer: Analyzer = CLEAN) -> Index:
-        """Build and save; an index of that name is replaced."""
-        self.save(build(docs, analyzer), index_id)
-        return self.load(index_id, analyzer)
-
-    def load(self, index_id: str, analyzer: Analyzer = CLEAN) -> Index:
-        found = self.versions(index_id)
-        if not found:
-            raise FileNotFoundError(f"no index {index_id} below {self.root}")
-        return Index(*(self.spark.read.parquet(f"{self.root}/{index_id}/{found[-1]}/{t}") for t in TABLES), analyzer)
-
-    def update(self, index_id: str, remove: DataFrame | None = None, add: DataFrame | None = None, analyzer: Analyzer = CLEAN) -> Index:
-        """Remove documents (``doc_id``), then add ``doc_id``, ``content``; an added one replaces its old version."""
-        self.save(changed(self.load(index_id, analyzer), remove, add), index_id)
-        return self.load(index_id, analyzer)
-
-    def delete(self, index_id: str) -> bool:
-        """Whether there was such an index."""
-        return self._fs().delete(self._path(index_id), True)
-
-    def list(self) -> list[str]:
-        """Names of the indexes that have a complete version."""
-        return [i for i in self._names() if self.versions(i)]
-
-    def list_files(self, index_id: str) -> DataFrame:
-        return indexed_files(self.load(index_id))
-
-    def size_mb(self, index_id: str) -> float:
-        """Megabytes of the newest version, from the file system's own count."""
-        return self._fs().getContentSummary(self._path(index_id, self.versions(index_id)[-1])).getLength() / 2**20
-
-
 def changed(index: Index, remove: DataFrame | None = None, add: DataFrame | None = None) -> Index:
     """The index after removing and then adding documents, with all statistics new."""
     gone = remove.select(F.col("doc_id").cast("string").alias("doc_id")) if remove is not None else None
@@ -252,7 +198,7 @@ def changed(index: Index, remove: DataFrame | None = None, add: DataFrame | None
         return index
     gone = gone.distinct()
     columns = ["term", "doc_id", "term_count", "positions", "doc_len"]
-    postings = index.postings.select(columns).join(gone, "doc_id", "left_anti").select(columns)
+    postings = with_lengths(index, index.postings).select(columns).join(gone, "doc_id", "left_anti").select(columns)
     catalog = index.doc_catalog.join(gone, "doc_id", "left_anti")
     if fresh is not None:
         postings = postings.unionByName(fresh.postings.select(columns))

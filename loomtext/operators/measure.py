@@ -6,15 +6,17 @@ import time
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import Codec, Evaluation, IndexConfig, Info, Optimization, Store
 from ..functions.analyze import CLEAN, Analyzer
-from .index import Index, Shelf
+from .index import Index
 from .search import boolean_search, match_search, ranked_search
+from .shelf import Shelf
 
 RESULT_SCHEMA = "identifier string, creation_time double, disk_size_mb double, avg_latency double, p95_latency double, p99_latency double, throughput double, memory_mb double"
 
-#: One match baseline, and eight variations of one axis each.
+# The configurations to compare: one match baseline, and eight variations of one axis each.
 CONFIGS = [
     IndexConfig("ESIndex", Info.TFIDF, Store.DB1),
     IndexConfig(info=Info.BOOLEAN),
@@ -30,12 +32,13 @@ CONFIGS = [
 
 def searcher(config: IndexConfig) -> Callable[[Index, str], DataFrame]:
     """How a configuration answers a query."""
+    least = config.least_score if config.optimization is Optimization.THRESHOLDING else None
+    early = config.optimization is Optimization.EARLY_STOPPING
     if config.core == "ESIndex":
         return lambda index, q: match_search(index, q, config.most_hits)
     if config.evaluation is Evaluation.TERM:
-        return lambda index, q: boolean_search(index, q, n=config.most_hits)
-    least = config.least_score if config.optimization is Optimization.THRESHOLDING else None
-    return lambda index, q: ranked_search(index, q, config.info.name.lower(), n=config.most_hits, least_score=least)
+        return lambda index, q: boolean_search(index, q, n=config.most_hits, least_score=least, early=early)
+    return lambda index, q: ranked_search(index, q, config.info.name.lower(), n=config.most_hits, least_score=least, early=early)
 
 
 def _percentile(values: list[float], p: float) -> float:
@@ -78,5 +81,6 @@ def run_benchmark(spark: SparkSession, root: str, docs: DataFrame, queries: list
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """Benchmark rows, a handful, as one JSON file in a folder."""
-    results.coalesce(1).write.mode("overwrite").json(path)
+    """Benchmark rows, a handful, as a JSON list in one text file of a folder; ``read_results`` reads it."""
+    whole = results.agg(F.to_json(F.collect_list(F.struct(*results.columns)), {"ignoreNullFields": "false"}).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)

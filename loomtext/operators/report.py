@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.analyze import CLEAN, RAW, positions
+from ..sources.corpus import numbered
 
 #: Position of each axis in an identifier such as SelfIndex_i3d1c1qTo0.
 AXES = {"info": "i", "dstore": "d", "compr": "c", "qproc": "q", "optim": "o"}
@@ -61,9 +62,27 @@ def baseline_ratio(results: DataFrame, axis: str, metric: str, baseline: str) ->
     return means.withColumn("ratio", F.when(F.col("mean") > 0, F.round(base / F.col("mean"), 6)).otherwise(F.lit(0.0)))
 
 
-def percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Mean, and exact 95th and 99th percentile with linear interpolation, of each group."""
-    return rows.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"), F.round(F.percentile(value, F.lit(0.99)), 6).alias("p99"))
+def percentiles(rows: DataFrame, by: str, value: str, at: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:
+    """Count and mean, and exact percentiles with linear interpolation, of each group: ``by``, ``n``, ``mean``, ``p95``, ``p99``.
+
+    Values are sorted in ranges over all tasks and only the few next to a percentile are
+    gathered, so a group is never held in one task. Nulls don't count; a group of nulls has
+    null percentiles; a null group is a group.
+    """
+    kept = rows.select(F.col(by).alias("_by"), F.col(value).cast("double").alias("_v"))
+    stats = kept.groupBy("_by").agg(F.count("_v").alias("n"), F.round(F.avg("_v"), 6).alias("mean"))
+    ordered = numbered(kept.where("_v is not null"), "_by", "_v")
+    # one row for each group
+    bounds = ordered.groupBy("_by").agg(F.min("ordinal").alias("_first"), F.count(F.lit(1)).alias("_n")).withColumnRenamed("_by", "_key")
+    placed = ordered.join(bounds, F.col("_by").eqNullSafe(F.col("_key"))).withColumn("_rank", F.col("ordinal") - F.col("_first"))
+    columns = []
+    for p in at:
+        exact = (F.col("_n") - 1) * F.lit(p)
+        low = F.floor(exact)
+        weight = F.when(F.col("_rank") == low, 1 - (exact - low)).when(F.col("_rank") == low + 1, exact - low)
+        columns.append(F.round(F.sum(F.col("_v") * weight), 6).alias(f"p{round(100 * p)}"))
+    found = placed.groupBy("_key").agg(*columns)
+    return stats.join(found, stats["_by"].eqNullSafe(found["_key"]), "left").select(F.col("_by").alias(by), "n", "mean", *(f"p{round(100 * p)}" for p in at))
 
 
 def throughput(rows: DataFrame, by: str, seconds: str) -> DataFrame:
@@ -102,10 +121,18 @@ def milliseconds(column: str) -> Column:
     return F.round(F.col(column) * 1000, 6)
 
 
-def chart(results: DataFrame, axis: str, labels: dict[str, str], columns: list[Column], core: str | None = None) -> DataFrame:
-    """A row for each benchmark row whose axis value has a label: ``identifier``, ``label`` and ``columns``."""
-    rows = with_axes(results).where(F.col(axis).isin(list(labels)))
+def chart(results: DataFrame, axis: str, labels: dict[str, str], columns: list[Column], core: str | None = None, otherwise: int = 0) -> DataFrame:
+    """A row for each benchmark row whose axis value has a label: ``identifier``, ``label`` and ``columns``.
+
+    If there is none, the first ``otherwise`` rows by run are shown, labelled by the first 20
+    characters of their identifiers.
+    """
+    rows = with_axes(results)
     if core:
-        rows = rows.where(F.col("core") == core)
+        rows = rows.where(F.contains("identifier", F.lit(core)))
     label = F.coalesce(*(F.when(F.col(axis) == k, v) for k, v in labels.items()))
-    return rows.select("identifier", label.alias("label"), *columns)
+    labelled = rows.where(F.col(axis).isin(list(labels))).select("identifier", label.alias("label"), *columns)
+    if not otherwise or not labelled.isEmpty():
+        return labelled
+    first = rows.orderBy("run_at", "identifier", "avg_latency").limit(otherwise)
+    return first.select("identifier", F.substring("identifier", 1, 20).alias("label"), *columns)

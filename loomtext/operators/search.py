@@ -11,12 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.analyze import analyze_words
 from ..plans.query import Node, Not, Phrase, Term, holds_without_terms, leaves, parse, predicate, rewrite, words_of
-from .index import Index, idf, tf
+from .index import Index, idf, tf, with_lengths
 
 TOP = 100
 #: Fixed values of BM25.
@@ -69,15 +69,35 @@ def top(scored: DataFrame, n: int = TOP) -> DataFrame:
     return scored.orderBy(F.desc("score"), "doc_id").limit(n)
 
 
-def boolean_search(index: Index, query: str, analyze_query: bool = True, n: int | None = TOP) -> DataFrame:
-    """Documents of a Boolean query, all with score 1."""
-    found = matching(index, compile_query(index, query, analyze_query)).withColumn("score", F.lit(1.0))
-    return found if n is None else top(found, n)
-
+def boolean_search(index: Index, query: str, analyze_query: bool = True, n: int | None = TOP, least_score: float | None = None, early: bool = False) -> DataFrame:
+    """Documents of a Boolean query, all with score 1.
 
-def _scores(index: Index, words: list[str], weight: str) -> DataFrame:
-    """``doc_id`` and the sum of the weights of some terms, to 6 decimals."""
-    hits = index.postings.where(F.col("term").isin(words)).select("term", "doc_id", "term_count", "doc_len")
+    ``least_score`` drops lower scores. ``early`` stops at the first ``n`` documents that are
+    found, whichever they are, instead of ordering all.
+    """
+    found = matching(index, compile_query(index, query, analyze_query)).withColumn("score", F.lit(1.0))
+    if least_score is not None:
+        found = found.where(F.col("score") >= least_score)
+    return found if n is None else found.limit(n) if early else top(found, n)
+
+
+def rarest_terms(index: Index, words: list[str], n: int) -> list[str]:
+    """The rarest of some terms that together have at least ``n`` postings, all of them if they have fewer."""
+    known = index.term_stats.where(F.col("term").isin(words)).orderBy("df", "term").collect()  # one row for each query term
+    out, promised = [], 0
+    for r in known:
+        if promised >= n:
+            break
+        out.append(r["term"])
+        promised += r["df"]
+    return out
+
+
+def _scores(index: Index, words: list[str], weight: str, among: list[str] | None = None) -> DataFrame:
+    """``doc_id`` and the sum of the weights of some terms, to 6 decimals; only documents with a term of ``among``."""
+    hits = index.postings.where(F.col("term").isin(words))
+    if weight in ("tfidf", "bm25"):
+        hits = with_lengths(index, hits).select("term", "doc_id", "term_count", "doc_len")
     if weight == "boolean":
         value = F.lit(1.0)
     elif weight == "wordcount":
@@ -92,7 +112,10 @@ def _scores(index: Index, words: list[str], weight: str) -> DataFrame:
             value = bm25(F.col("term_count"), F.col("df"), F.col("doc_len"), n, mean)
     else:
         raise ValueError(f"unknown weight {weight}")
-    return hits.groupBy("doc_id").agg(F.round(F.sum(value), 6).alias("score"))
+    sums = [F.round(F.sum(value), 6).alias("score")]
+    if among is None:
+        return hits.groupBy("doc_id").agg(*sums)
+    return hits.groupBy("doc_id").agg(*sums, F.max(F.col("term").isin(among)).alias("_among")).where("_among").drop("_among")
 
 
 def bm25(count: Column, df: Column, length: Column, n: int, mean: float) -> Column:
@@ -100,17 +123,19 @@ def bm25(count: Column, df: Column, length: Column, n: int, mean: float) -> Colu
     return rarity * count * (K1 + 1) / (count + K1 * (1 - B + B * length / F.lit(mean or 1.0)))
 
 
-def ranked_search(index: Index, query: str, weight: str = "tfidf", ranked: str = "bag", analyze_query: bool = True, n: int | None = TOP, least_score: float | None = None) -> DataFrame:
+def ranked_search(index: Index, query: str, weight: str = "tfidf", ranked: str = "bag", analyze_query: bool = True, n: int | None = TOP, least_score: float | None = None, early: bool = False) -> DataFrame:
     """Documents by the sum of their weights.
 
     ``bag`` scores every document that has any term outside phrases, whatever the operators
     say; ``filtered`` keeps the documents of the Boolean query and scores the terms, phrases
-    included, that are not under a NOT. ``least_score`` drops lower scores.
+    included, that are not under a NOT. ``least_score`` drops lower scores. ``early``, for a
+    bag and with ``n``, scores only documents that have one of the rarest terms, so many of
+    them that ``n`` postings are certain; their scores are whole.
     """
     tree = compile_query(index, query, analyze_query)
     if ranked == "bag":
-        words = [leaf.word for leaf in leaves(tree) if isinstance(leaf, Term) and leaf.word]
-        scored = _scores(index, list(dict.fromkeys(words)), weight)
+        words = list(dict.fromkeys(leaf.word for leaf in leaves(tree) if isinstance(leaf, Term) and leaf.word))
+        scored = _scores(index, words, weight, rarest_terms(index, words, n) if early and n else None)
     elif ranked == "filtered":
         words = [w for leaf in leaves(tree, True) for w in ([leaf.word] if isinstance(leaf, Term) else leaf.words) if w]
         scored = matching(index, tree).join(_scores(index, list(dict.fromkeys(words)), weight), "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -121,6 +146,27 @@ def ranked_search(index: Index, query: str, weight: str = "tfidf", ranked: str =
     return scored if n is None else top(scored, n)
 
 
+def match_batch(index: Index, queries: DataFrame, n: int = TOP) -> DataFrame:
+    """``query_id``, ``doc_id`` and BM25 ``score`` of many match queries in one plan, the best ``n`` of each.
+
+    The queries, a workload that fits the driver, are analyzed there. Postings of all their
+    terms are read once and joined with a table of one row for each query and term.
+    """
+    rows = queries.select("query_id", "query").collect()
+    plain = {r["query_id"]: (r["query"] or "").replace('"', " ").replace("(", " ").replace(")", " ").split() for r in rows}
+    found = analyze_words(index.postings.sparkSession, list(dict.fromkeys(w for words in plain.values() for w in words)), index.analyzer)
+    asked = sorted({(k, t) for k, words in plain.items() for w in words for t in found[w]})
+    pairs = index.postings.sparkSession.createDataFrame(asked, f"query_id {queries.schema['query_id'].dataType.simpleString()}, term string")
+    terms = sorted({t for _, t in asked})
+    hits = with_lengths(index, index.postings.where(F.col("term").isin(terms))).select("term", "doc_id", "term_count", "doc_len")
+    # a row for each query and term
+    asked_df = pairs.join(index.term_stats.where(F.col("term").isin(terms)), "term")
+    total, mean = index.size
+    scored = hits.join(F.broadcast(asked_df), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(bm25(F.col("term_count"), F.col("df"), F.col("doc_len"), total, mean)), 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    return scored.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
 def match_search(index: Index, query: str, n: int = TOP) -> DataFrame:
     """BM25 of all words of a query, as plain text: quotes are dropped, operators are words like others."""
     words = query.replace('"', " ").replace("(", " ").replace(")", " ").split()
@@ -162,14 +208,13 @@ def batch_search(index: Index, queries: DataFrame, analyze_query: bool = True, n
     found = seen.select(F.explode(F.filter(tests, lambda k: k.isNotNull())).alias("query_id"), "doc_id", F.lit(1.0).alias("score"))
     if n is None:
         return found
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
-def results_json(results: DataFrame) -> DataFrame:
-    """All results, at most 100 or so, as one JSON array in the column ``json``, best first."""
+def results_json(results: DataFrame, n: int = TOP) -> DataFrame:
+    """The best ``n`` results as one JSON array in the column ``json``, best first."""
+    results = top(results, n)
     best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "doc_id", "score")))
     return results.agg(F.to_json(F.transform(best, lambda x: F.struct(x["doc_id"].alias("doc_id"), x["score"].alias("score")))).alias("json"))
 

@@ -162,7 +162,9 @@ def term_results(index: DataFrame, tasks: int | None = None) -> DataFrame:
     """
     rows = index.select(F.lower(F.trim("term")).alias("term"), "doc_id", F.coalesce(F.size("postings"), F.lit(0)).alias("held")).where("term is not null")
     plan = plan_fragments(rows, "term", tasks)
-    # rows of one term and record share a shard, so distinct records add up
-    each = place(rows, "term", plan, ["doc_id"]).groupBy("_task", "term", "doc_id").agg(F.sum(F.greatest("held", F.lit(0))).alias("held"), F.count(F.lit(1)).alias("rows"))
+    # rows of one term and record share a shard, so distinct records add up; those without a
+    # record may go to any, and are spread by their place
+    salted = rows.withColumn("salt", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    each = place(salted, "term", plan, ["doc_id", "salt"]).groupBy("_task", "term", "doc_id").agg(F.sum(F.greatest("held", F.lit(0))).alias("held"), F.count(F.lit(1)).alias("rows"))
     out = fragment_aggregate(each, "term", [F.count("doc_id").alias("records"), F.sum("held").alias("positions"), F.sum("rows").alias("total_rows")], [F.sum("records").alias("records"), F.sum("positions").alias("positions"), F.sum("total_rows").alias("total_rows")])
     return out.select("term", "total_rows", "records", "positions", F.round(F.when(F.col("records") > 0, F.col("total_rows") / F.col("records")), 6).alias("per_record"), F.round(F.col("total_rows") / F.lit(max(plan.total, 1)), 6).alias("share"), (F.col("total_rows") * 100 >= plan.total).alias("heavy"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import IndexConfig
-from .durable import durable, shared_folder
+from .durable import durable
 from .functions.analyze import CLEAN, RAW, Analyzer, positions, tokens_sql
 from .functions.porter import stem_sql, stem_words
 from .operators import index as ix
@@ -175,14 +173,6 @@ def index_update(spark: SparkSession, sf: str) -> DataFrame:
     return after.term_stats.select("term", "df", F.round(ix.idf(F.col("df"), after.size[0]), 6).alias("idf"))
 
 
-def index_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Create, list, update, search and delete a stored index."""
-    shelf = ix.Shelf(spark, f"{shared_folder(spark)}/shelf-{uuid.uuid4().hex}", IndexConfig())
-    shelf.create("pages", load_wikipedia(spark, sf), RAW)
-    after = shelf.update("pages", add=load_news(spark, sf), analyzer=RAW)
-    return durable(search.boolean_search(after, '"the" AND NOT "forest"', n=None), "roundtrip")
-
-
 # Retrieval
 
 
@@ -289,7 +279,7 @@ def _latency_columns(*more: str) -> list:
     return [report.milliseconds("p95_latency").alias("p95_ms"), *(F.col(c) for c in more)]
 
 
-#: Charts: axis, labels, columns, and the core if only one counts.
+# The charts' axes and labels; their columns, and the core if only one counts.
 CHARTS = {
     "chart_index_types": ("info", {"1": "Boolean (x=1)", "2": "WordCount (x=2)", "3": "TF-IDF (x=3)"}, _size_column, None),
     "chart_datastores": ("dstore", {"1": "Custom (y=1)", "2": "DB1 (y=2)", "3": "DB2 (y=3)"}, _latency_columns, "SelfIndex"),
@@ -299,9 +289,13 @@ CHARTS = {
 }
 
 
-def _chart(name: str) -> Query:
+def chart_frame(results: DataFrame, name: str) -> DataFrame:
     axis, labels, columns, core = CHARTS[name]
-    return lambda spark, sf: report.chart(_results(spark, sf), axis, labels, columns(), core)
+    return report.chart(results, axis, labels, columns(), core, 3 if core else 0)
+
+
+def _chart(name: str) -> Query:
+    return lambda spark, sf: chart_frame(_results(spark, sf), name)
 
 
 # Uneven keys
@@ -319,7 +313,7 @@ _PLAIN = (
     tokenize_positions, stopword_filtered_tokens, porter_vocabulary, porter_1980_vocabulary, preprocess_tokens,
     word_freq_raw_top30, word_freq_clean_top30, vocabulary_sizes, load_wikipedia, load_news, union_sources,
     sample_documents, postings_boolean, postings_wordcount, postings_tfidf, doc_lengths, document_frequency, idf_table,
-    list_indexed_files, skip_pointers, doc_gaps, vbyte_size_model, index_update, index_roundtrip, boolean_top100,
+    list_indexed_files, skip_pointers, doc_gaps, vbyte_size_model, index_update, boolean_top100,
     results_as_json, stemmed_query, stemmed_query_compat, daat_tfidf_top100, daat_wordcount_top100,
     daat_boolean_top100, daat_ignores_not, ranked_filtered_top100, bm25_match_top100, batch_workload,
     latency_percentiles, event_throughput, axis_means, compression_ratio, optimization_speedup, top10_configs,
@@ -334,7 +328,13 @@ def queries() -> dict[str, Query]:
     out |= {f"axis_{a}": _axis(a) for a in report.AXES}
     out |= {name: _histogram(v) for name, v in HISTOGRAMS.items()}
     out |= {name: _chart(name) for name in CHARTS}
-    return out
+    return out | _stored().queries()
+
+
+def _stored():
+    from . import stored_queries  # it uses this module
+
+    return stored_queries
 
 
 # SQL for DuckDB
@@ -404,7 +404,7 @@ _BOOLEAN_SQL = {
 }
 
 
-def _ranked_sql(words: list[str], weight: str, where: str = "true") -> str:
+def _ranked_sql(words: list[str], weight: str, where: str = "true", cut: int | None = 100, more: str = "") -> str:
     terms = ", ".join(f"'{w}'" for w in words)
     value = {
         "boolean": "1.0::DOUBLE",
@@ -412,7 +412,8 @@ def _ranked_sql(words: list[str], weight: str, where: str = "true") -> str:
         "tfidf": "n::DOUBLE / len * ln(n_docs::DOUBLE / df)",
         "bm25": "ln(1 + (n_docs::DOUBLE - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len / mean_len))",
     }[weight]
-    return f"WITH {_INDEX} SELECT doc_id, round(sum({value}), 6) AS score FROM postings JOIN df USING (term) JOIN catalog USING (doc_id), total WHERE term IN ({terms}) AND {where} GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 100"
+    first = f" ORDER BY score DESC, doc_id LIMIT {cut}" if cut else ""
+    return f"WITH {_INDEX}{more} SELECT doc_id, round(sum({value}), 6) AS score FROM postings JOIN df USING (term) JOIN catalog USING (doc_id), total WHERE term IN ({terms}) AND {where} GROUP BY doc_id{first}"
 
 
 _RESULTS = """
@@ -465,9 +466,6 @@ def oracle_sql() -> dict[str, str]:
         texts AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS content FROM kept UNION ALL SELECT * FROM ({_PAGES})),
         tok AS ({tokens_sql("texts", "doc_id", "content")}), n AS (SELECT count(DISTINCT doc_id) AS n FROM texts)
         SELECT term, count(DISTINCT doc_id) AS df, round(ln(any_value(n)::DOUBLE / count(DISTINCT doc_id)), 6) AS idf FROM tok, n GROUP BY term"""
-    roundtrip = f"""
-        WITH texts AS ({union}), tok AS ({tokens_sql("texts", "doc_id", "content")})
-        SELECT doc_id, 1.0::DOUBLE AS score FROM (({_has("the")}) EXCEPT ({_has("forest")}))"""
     vocabulary = f"WITH tok AS ({_TOK}), vocabulary AS (SELECT DISTINCT term FROM tok)"
     numbers = f"{_INDEX}, numbers AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS k FROM catalog)"
     gaps = f"SELECT term, doc_id, k - coalesce(lag(k) OVER (PARTITION BY term ORDER BY k), 0) AS gap FROM postings JOIN numbers USING (doc_id)"
@@ -501,7 +499,6 @@ def oracle_sql() -> dict[str, str]:
         "doc_gaps": f"WITH {numbers} {gaps}",
         "vbyte_size_model": f"WITH {numbers} SELECT term, count(*) AS postings, CAST(sum(CASE WHEN gap < 128 THEN 1 WHEN gap < 16384 THEN 2 WHEN gap < 2097152 THEN 3 WHEN gap < 268435456 THEN 4 ELSE 5 END) AS BIGINT) AS bytes FROM ({gaps}) GROUP BY term",
         "index_update": changed,
-        "index_roundtrip": roundtrip,
         "boolean_top100": f"WITH tok AS ({_TOK}) {top}",
         "results_as_json": f"""WITH tok AS ({_TOK}), top AS ({top}) SELECT '[' || string_agg('{{"doc_id":"' || doc_id || '","score":1.0}}', ',' ORDER BY doc_id) || ']' AS json FROM top""",
         "stemmed_query": f"WITH {_STEMMED} SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM (SELECT doc_id FROM clean WHERE term = 'forest' UNION {clean_phrase})",
@@ -528,4 +525,4 @@ def oracle_sql() -> dict[str, str]:
     out |= {f"axis_{a}": f"WITH {_RESULTS} SELECT {_label_sql('value', report.NAMES[a])} AS label, configs, {', '.join(report.METRICS)} FROM ({_means_sql(a)})" for a in report.AXES}
     out |= {name: _histogram_sql(v) for name, v in HISTOGRAMS.items()}
     out |= {name: _chart_sql(name) for name in CHARTS}
-    return out
+    return out | _stored().oracle_sql()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.analyze import CLEAN, Analyzer
-from ..operators.index import Shelf
+from ..operators.shelf import Shelf
 
 
 def index_stream(docs: DataFrame, shelf: Shelf, index_id: str, checkpoint: str, analyzer: Analyzer = CLEAN) -> StreamingQuery:

@@ -3,9 +3,11 @@ import math
 import pytest
 
 from loomtext.config import Codec, Evaluation, IndexConfig, Info, Optimization, Store
-from loomtext.functions.analyze import CLEAN, RAW
+from loomtext.durable import durable
+from loomtext.functions.analyze import CLEAN, RAW, positions
 from loomtext.operators import index as ix
 from loomtext.operators import measure, search
+from loomtext.operators.shelf import Shelf
 
 CORPUS = [
     ("doc1", "Python is a programming language. Python is popular."),
@@ -104,7 +106,7 @@ def test_gaps_and_skips_over_ranges(spark):
 
 @pytest.mark.parametrize("config", [IndexConfig(), IndexConfig(store=Store.DB1), IndexConfig(codec=Codec.CLIB), IndexConfig(codec=Codec.CODE, optimization=Optimization.SKIPPING)])
 def test_life_on_disk(spark, docs, tmp_path, config):
-    shelf = ix.Shelf(spark, str(tmp_path), config)
+    shelf = Shelf(spark, str(tmp_path), config)
     assert shelf.list() == [] and not shelf.delete("none")
     with pytest.raises(FileNotFoundError):
         shelf.load("none")
@@ -142,7 +144,7 @@ def test_index_stream(spark, tmp_path):
     from loomtext.streaming.ingest import index_stream
 
     source = f"{tmp_path}/in"
-    shelf = ix.Shelf(spark, f"{tmp_path}/shelf")
+    shelf = Shelf(spark, f"{tmp_path}/shelf")
     for batch in ([("d1", "forest"), ("d2", "river")], [("d2", "forest now")]):
         spark.createDataFrame(batch, SCHEMA).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(SCHEMA).parquet(source)
@@ -153,3 +155,33 @@ def test_index_stream(spark, tmp_path):
 def test_stop_words_in_queries(index):
     assert ids(search.boolean_search(index, '"programming of language"')) == ["doc1", "doc3"]
     assert index.analyzer == CLEAN
+
+
+def test_rows_are_grouped_where_they_lie(monkeypatch):
+    """Postings of each row by brute force, with long rows, empty ones and slices."""
+    import pyarrow as pa
+
+    texts = [["a", "b", "a"], [], None, ["c"] * 250_000 + ["a"], ["b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"d{i}" for i in range(5)]), pa.array(texts, pa.list_(pa.string()))], ["doc_id", "tokens"])
+    for lo in (0, 1, 3):
+        got = {}
+        for b in ix._row_postings([batch.slice(lo)]):
+            for r in b.to_pylist():
+                assert (r["doc_id"], r["term"]) not in got
+                got[r["doc_id"], r["term"]] = (r["positions"], r["doc_len"])
+        assert got == {(f"d{i}", t): ([p for p, x in enumerate(texts[i]) if x == t], len(texts[i])) for i in range(lo, 5) for t in set(texts[i] or [])}
+
+
+def test_frequent_terms_are_not_gathered(spark, monkeypatch):
+    """No exchange on the term alone moves postings or tokens, whether the other side is broadcast or not."""
+    docs = spark.createDataFrame([(f"d{i}", "often " * 3 + "abcde"[i % 5] * (i + 3)) for i in range(50)], SCHEMA)
+    built = ix.build(docs, RAW).stored(lambda df, name: durable(df, name))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    makers = (lambda: ix.weights(built), lambda: ix.skip_targets(built.postings), lambda: positions(docs, CLEAN))
+    small = [make() for make in makers]
+    assert all("hashpartitioning(term" not in plan(df) for df in small)
+    monkeypatch.setattr("loomtext.operators.skew.BROADCAST_ROWS", 3)
+    for before, make in zip(small, makers):
+        large = make()
+        assert "shufflepartitionidpassthrough" in plan(large) and "hashpartitioning(term" not in plan(large)
+        assert sorted(map(str, large.select(before.columns).collect())) == sorted(map(str, before.collect()))

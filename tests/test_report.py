@@ -1,3 +1,8 @@
+import random
+
+import numpy as np
+import pytest
+
 from loomtext.operators import report
 
 SCHEMA = "identifier string, creation_time double, disk_size_mb double, avg_latency double, p95_latency double, p99_latency double, throughput double, memory_mb double, run_at int"
@@ -29,3 +34,30 @@ def test_histogram_edges(spark):
 def test_throughput_guard(spark):
     df = spark.createDataFrame([("a", 0.0), ("b", 2.0), ("b", 2.0), ("c", None)], "k string, s double")
     assert {r["k"]: r["per_second"] for r in report.throughput(df, "k", "s").collect()} == {"a": 0.0, "b": 0.5, "c": 0.0}
+
+
+def test_percentiles_by_brute_force(spark):
+    r = random.Random(3)
+    values = {"a": [r.random() for _ in range(501)], "b": [7.0], "c": [1.0, 2.0], None: [5.0, 5.0, 5.0, 9.0], "big": [float(r.randrange(10)) for _ in range(3000)], "empty": []}
+    rows = [(k, v) for k, x in values.items() for v in [*x, None]]
+    got = {x["k"]: x for x in report.percentiles(spark.createDataFrame(rows, "k string, v double").repartition(5), "k", "v").collect()}
+    assert set(got) == set(values)
+    for k, x in values.items():
+        assert got[k]["n"] == len(x)
+        for p in (95, 99):
+            assert got[k][f"p{p}"] == (pytest.approx(np.percentile(x, p), abs=2e-6) if x else None)
+    assert report.percentiles(spark.createDataFrame([], "k string, v double"), "k", "v").count() == 0
+
+
+def test_percentiles_hold_no_group_in_one_task(spark):
+    df = spark.range(1000).selectExpr("'one' as k", "id * 1.0 as v")
+    assert "percentile(" not in report.percentiles(df, "k", "v")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chart_without_labels_shows_the_first_rows(spark):
+    df = results(spark, [(f"SelfIndex_i1d9c1qTo{i}", 1.0, 2.0, 4.0, 0.5, 1.0, 1.0, None, i) for i in range(5)] + [("ESIndex_i1d1c1qTo0", 1.0, 2.0, 4.0, 0.1, 1.0, 1.0, None, 0)])
+    columns = [report.milliseconds("p95_latency").alias("p95_ms")]
+    got = report.chart(df, "dstore", {"1": "Custom"}, columns, "SelfIndex", 3).collect()
+    assert [(r["label"], r["p95_ms"]) for r in got] == [(f"SelfIndex_i1d9c1qTo{i}", 500.0) for i in range(3)]
+    assert report.chart(df, "dstore", {"1": "Custom"}, columns, "SelfIndex").count() == 0
+    assert [r["label"] for r in report.chart(df, "dstore", {"9": "Nine"}, columns, "SelfIndex", 3).collect()] == ["Nine"] * 5

@@ -40,6 +40,20 @@ def test_rows_are_counted_where_they_are_placed(spark, monkeypatch):
     assert got == {t: 2 * n for t, (n, *_) in brute(index_rows()).items()}
 
 
+def test_rows_without_a_record_are_spread(spark):
+    """A third of all rows has a hot term and no record."""
+    rows = [("hot", None, [1], 0)] * 1000 + [(f"t{i}", f"d{i}", [1], 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    seen = []
+    real = skew.place
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(skew, "place", lambda *a: seen.append(real(*a)) or seen[-1])
+        got = {r["term"]: (r["total_rows"], r["records"]) for r in skew.term_results(df, 8).collect()}
+    assert got == {"hot": (1000, 0)} | {f"t{i}": (1, 1) for i in range(2000)}
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * len(rows) / 8
+
+
 def test_empty_and_null(spark):
     assert skew.term_results(spark.createDataFrame([], SCHEMA)).count() == 0
     assert skew.term_results(spark.createDataFrame([(None, "d", [1], 1)] * 3, SCHEMA)).count() == 0

@@ -43,6 +43,17 @@ def _uneven(left: DataFrame, right: DataFrame, key: str, name: str, text: str |
     return fragment_replicate_join(durable(left, name), right, key, ["d"]).drop("_task")
 
 
+def _last_least(grams: np.ndarray, window: int) -> np.ndarray:
+    """Position of the last of the least hashes of each window, from windows of half the size."""
+    at, size = np.arange(grams.size), 1
+    while size < window:
+        step = min(size, window - size)
+        left, right = at[:-step], at[step:]
+        at = np.where(grams[right] <= grams[left], right, left)
+        size += step
+    return at
+
+
 def _selected(grams: np.ndarray, starts: np.ndarray, window: int, every: bool = False) -> np.ndarray:
     """Positions of the least hash of each window inside one text.
 
@@ -56,11 +67,10 @@ def _selected(grams: np.ndarray, starts: np.ndarray, window: int, every: bool =
     chosen = np.zeros(grams.size, bool)
     if not first.size:
         return np.flatnonzero(chosen)
-    views = np.lib.stride_tricks.sliding_window_view(grams, window)[first]
-    last = first + window - 1 - views[:, ::-1].argmin(axis=1)
+    last = _last_least(grams, window)[first]
     least = grams[last]
     if every:
-        row, place = np.nonzero(views == least[:, None])
+        row, place = np.nonzero(np.lib.stride_tricks.sliding_window_view(grams, window)[first] == least[:, None])
         chosen[first[row] + place] = True
         return np.flatnonzero(chosen)
     # neighbouring windows of one least value: one place for all, or from one to the next
@@ -149,7 +159,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     hits = found.groupBy("d", "i").agg(F.collect_list(F.struct("doc_at", "item_at")).alias("places"))
     hits = durable(hits, "hits")
     texts = docs.join(small(hits.select("d").distinct()), "d", "left_semi")
-    pairs = _uneven(hits.join(texts, "d"), items, "i", "pairs", "item_text")
+    pairs = _uneven(hits.hint("merge").join(texts, "d"), items, "i", "pairs", "item_text")
     context = docs.sparkSession.sparkContext
     tables = context.broadcast((form_tables(), char_tables()))
     schema = T.StructType([T.StructField("d", docs.schema["d"].dataType), T.StructField("i", items.schema["i"].dataType), *(T.StructField(c, T.IntegerType()) for c in ("words", "doc_word", "item_word"))])

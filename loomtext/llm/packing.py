@@ -12,7 +12,8 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +31,13 @@ def pattern_tokens(text: Column) -> Column:
 
 
 def vocabulary_tokens(path: str) -> Callable[[Column], Column]:
-    """A counter of the tokens of a public tokenizer's file (``tokenizers`` JSON)."""
+    """A counter of the tokens of a public tokenizer's file (``tokenizers`` JSON).
+
+    The file is read on the driver, and Spark hands it to the executors.
+    """
+    context = SparkSession.active().sparkContext
+    context.addFile(path)
+    name = os.path.basename(path)
     held: dict[str, object] = {}
 
     @F.arrow_udf(T.IntegerType())
@@ -39,7 +46,7 @@ def vocabulary_tokens(path: str) -> Callable[[Column], Column]:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
             from tokenizers import Tokenizer
 
-            held["t"] = Tokenizer.from_file(path)
+            held["t"] = Tokenizer.from_file(SparkFiles.get(name))
             held["t"].encode_special_tokens = True
         out = []
         batch = [t or "" for t in texts.to_pylist()]

@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import canonical, distinct, frequency, leakage, neardup, packing, subjects
 from .codepoints import VISIBLE
@@ -68,6 +69,18 @@ def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(_table(spark, sf, "documents"))
 
 
+def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """How each text is cut, wherever its pieces lie."""
+    return p6_pack(spark, sf).drop("container")
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether no container holds too much, and little room is left in all but the last few."""
+    used = p6_pack(spark, sf).where("container is not null").groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    told = used.agg(F.coalesce(F.sum("used"), F.lit(0)).alias("tokens"), F.coalesce(F.max("used") <= 1024, F.lit(True)).alias("none_too_full"), F.coalesce(F.sum("used") >= 0.95 * 1024 * (F.count(F.lit(1)) - 8), F.lit(True)).alias("well_filled"))
+    return told
+
+
 def p6_vocabulary_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Sizes in tokens of a public vocabulary, whose folder LOOMTEXT_TOKENIZERS names."""
     folder = os.environ.get("LOOMTEXT_TOKENIZERS", "/opt/tokenizers")
@@ -90,8 +103,15 @@ def p8_canonical(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonical_form(_table(spark, sf, "documents"))
 
 
+def p8_invisible(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with invisible characters or with spaces other than the plain one."""
+    kinds = F.col("kinds")
+    found = canonical.canonical_form(_table(spark, sf, "documents")).select("doc_id", (kinds.bitwiseAND(canonical.INVISIBLE) > 0).alias("invisible"), (kinds.bitwiseAND(canonical.SPACE) > 0).alias("other_space"))
+    return found.where("invisible or other_space")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_shares": p1_shares, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_scores": p4_scores, "p4_elite": p4_elite, "p5_found": p5_found, "p5_terms": p5_terms, "p5_words": p5_words, "p6_found": p6_found, "p6_pack": p6_pack, "p6_vocabulary_pack": p6_vocabulary_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_canonical": p8_canonical}
+    return {"p1_found": p1_found, "p1_shares": p1_shares, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_scores": p4_scores, "p4_elite": p4_elite, "p5_found": p5_found, "p5_terms": p5_terms, "p5_words": p5_words, "p6_found": p6_found, "p6_pack": p6_pack, "p6_pieces": p6_pieces, "p6_fill": p6_fill, "p6_vocabulary_pack": p6_vocabulary_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_canonical": p8_canonical, "p8_invisible": p8_invisible}
 
 
 _INDEX = """
@@ -137,6 +157,11 @@ sized AS (
     FROM documents)"""
 
 
+# Invisible characters and spaces other than the plain one, as classes of characters.
+_UNSEEN = r"[\p{Cf}\x{00}-\x{08}\x{0e}-\x{1b}\x{7f}-\x{84}\x{86}-\x{9f}\x{34f}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{3164}\x{fe00}-\x{fe0f}\x{ffa0}\x{2800}]"
+_SPACES = r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+
+
 def _similar(k: int) -> str:
     """Pairs of documents with a shared run of ``k`` words: how many they share, and have."""
     return f"""
@@ -183,4 +208,13 @@ def oracle_sql() -> dict[str, str]:
             size AS (SELECT count(DISTINCT doc_id) AS n FROM documents)
             SELECT term, occurrences, records, {_MARK} AS mark FROM counts, size""",
         "p6_found": f"WITH {_SIZED} SELECT doc_id FROM sized WHERE size > 1024",
+        "p6_pieces": f"""
+            WITH {_SIZED}, cut AS (SELECT doc_id, size, (size + 1023) // 1024 AS pieces FROM sized),
+            each AS (SELECT *, unnest(range(greatest(pieces, 1))) AS piece FROM cut)
+            SELECT doc_id, piece, pieces, piece * 1024 AS first_token, least(1024, size - piece * 1024) AS n_tokens FROM each""",
+        "p6_fill": f"WITH {_SIZED} SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS tokens, true AS none_too_full, true AS well_filled FROM sized",
+        "p8_invisible": f"""
+            SELECT doc_id, invisible, other_space FROM (
+                SELECT doc_id, regexp_matches(text, '{_UNSEEN}') AS invisible, regexp_matches(text, '{_SPACES}') AS other_space FROM documents)
+            WHERE invisible OR other_space""",
     }

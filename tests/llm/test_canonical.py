@@ -23,6 +23,7 @@ from loomtext.llm import canonical as c
         ("λόγος Ω δ", None, 0),
         ("а", "a", c.LOOK_ALIKE),
         ("саѕе", "case", c.LOOK_ALIKE),
+        ("ꓐig Ⲟne", "Big One", c.LOOK_ALIKE),
         ("ｅ́​", "é", c.COMPATIBILITY | c.SEPARATE_MARK | c.INVISIBLE),
         ("á̧", "á̧", c.SEPARATE_MARK),
         ("한", "한", 0),

@@ -126,6 +126,16 @@ def test_containers_round_trip():
     assert len(frequency.encode_container(np.arange(65536, dtype=np.uint32).astype("<u2"))) == 8193
 
 
+def test_union_of_rows(spark):
+    r = np.random.default_rng(4)
+    sets = [[np.unique(r.integers(0, 65536, n)).astype("<u2") for n in sizes] for sizes in ([3], [5000], [10, 10], [5000, 60], [1], [], [40_000, 40_000])]
+    rows = [(i, [bytearray(frequency.encode_container(x)) for x in s]) for i, s in enumerate(sets)]
+    for kept in (rows, [x for x in rows if x[1]], []):
+        df = spark.createDataFrame([x for x in kept if x[1]], "i int, parts array<binary>").repartition(2)
+        got = {x["i"]: x["n"] for x in df.select("i", frequency.union_cardinality("parts").alias("n")).collect()}
+        assert got == {i: len(set().union(*(x.tolist() for x in sets[i]))) for i, p in kept if p}
+
+
 def test_bitmaps_over_tasks_and_containers(spark):
     r = random.Random(9)
     rows = [(r.choice("abc"), r.choice([-5, 3, 70_000, 70_001, 2**40]), 1) for _ in range(400)]

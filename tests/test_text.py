@@ -32,6 +32,7 @@ def test_null_text(spark):
 
 
 def test_analyzer_sentence(spark):
+    # Fixed value: the sentence of the fixtures.
     docs = spark.createDataFrame([("d", "The quick brown foxes jumped over the lazy dogs. Natural Language Processing is amazing!")], "doc_id string, content string")
     got = [r["term"] for r in positions(docs, CLEAN).orderBy("pos").collect()]
     assert got == "quick brown fox jump lazi dog natur languag process amaz".split()

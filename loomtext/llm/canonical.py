@@ -277,16 +277,25 @@ def canonical_chunk(cps: np.ndarray, starts: np.ndarray, t: FormTables) -> tuple
 def canonical_texts(texts: list[str | None], t: FormTables | None = None) -> tuple[list[str | None], list[int]]:
     """The canonical form of each text and the kinds found in it; null stays null.
 
-    Plain ASCII without control characters is canonical already and is not exploded.
+    Plain ASCII without control characters is canonical already and is not exploded; nor is a
+    text without a character that calls for a look taken further.
     """
     t = t or form_tables()
     out, found = list(texts), [0] * len(texts)
     todo = [i for i, x in enumerate(texts) if x and (not x.isascii() or _CONTROL.search(x))]
     for lo, hi in chunked([texts[i] for i in todo]):
-        part = todo[lo:hi]
-        cps, starts, kinds = canonical_chunk(*explode([texts[i] for i in part]), t)
-        for i, new, k in zip(part, rebuild(cps, starts), kinds.tolist()):
-            out[i], found[i] = new, k
+        cps, starts = explode([texts[i] for i in todo[lo:hi]])
+        look = np.zeros(cps.size + 1, np.int64)
+        np.cumsum((t.flags[slots(cps)] & _NEEDS_LOOK) > 0, out=look[1:])
+        part = np.flatnonzero(look[starts[1:]] > look[starts[:-1]])
+        if part.size < hi - lo:
+            inside = np.zeros(hi - lo, bool)
+            inside[part] = True
+            length = np.diff(starts)
+            cps, starts = cps[np.repeat(inside, length)], np.append(0, np.cumsum(length[part]))
+        cps, starts, kinds = canonical_chunk(cps, starts, t)
+        for i, new, k in zip(part.tolist(), rebuild(cps, starts), kinds.tolist()):
+            out[todo[lo + i]], found[todo[lo + i]] = new, k
     return out, found
 
 

@@ -43,8 +43,9 @@ def least_matches(positions: int, similarity: float) -> int:
 def _distinct(grams: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text in ascending order, their counts, and the text of each."""
     doc = np.repeat(np.arange(starts.size - 1), np.diff(starts))
-    order = np.lexsort((grams, doc))
-    grams = grams[order]
+    grams = grams.copy()
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):  # each text's own, in place
+        grams[a:b].sort()
     new = np.ones(grams.size, bool)
     new[1:] = (grams[1:] != grams[:-1]) | (doc[1:] != doc[:-1])
     return grams[new], np.bincount(doc[new], minlength=starts.size - 1), doc[new]

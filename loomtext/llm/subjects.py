@@ -16,6 +16,7 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..durable import discard, durable, spread
 from .canonical import canonical_texts, form_tables
-from .codepoints import CHUNK_CHARS, VISIBLE, char_tables, chunked, explode, mix, slots, words_of
+from .codepoints import CHUNK_CHARS, LIMIT, VISIBLE, char_tables, chunked, explode, mix, slots, words_of
 
 WORD_SLOTS, GRAM_SLOTS, DIM = 1 << 15, 1 << 15, 16
 GRAMS = (3, 4, 5)
@@ -96,16 +97,10 @@ def _vocabulary(cps: np.ndarray, words, tables) -> Vocabulary:
     return Vocabulary(each, (hashes % np.uint64(WORD_SLOTS)).astype(np.int64), found[order].astype(np.int64), np.searchsorted(owner[order], np.arange(size.size)))
 
 
-def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of the row runs that begin at ``starts[:-1]``; an empty run sums to zero."""
-    total = np.zeros((values.shape[0] + 1, values.shape[1]), np.float64)
-    np.cumsum(values, axis=0, out=total[1:])
-    return (total[starts[1:]] - total[starts[:-1]]).astype(np.float32)
-
-
 def _word_vectors(v: Vocabulary, word: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    ends = np.append(v.gram_starts, v.grams.size)
-    return word[v.slot] + _sums(gram[v.grams], ends) / np.maximum(np.diff(ends), 1)[:, None]
+    """A word's own vector and the mean of its n-grams'; every word has one, as its edges count."""
+    many = np.diff(np.append(v.gram_starts, v.grams.size)).astype(np.float32)
+    return word[v.slot] + np.add.reduceat(gram[v.grams], v.gram_starts) / many[:, None]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -262,6 +257,18 @@ class Adam:
 _STOPS, _CLOSERS = ".!?…", "\"'”’»)]“"
 
 
+_STOP, _CLOSER, _BLANK, _DIGIT = 1, 2, 4, 8
+
+
+@lru_cache(maxsize=1)
+def _marks() -> np.ndarray:
+    """What each character means for sentences, by code point."""
+    out = np.zeros(LIMIT + 2, np.uint8)
+    for chars, bit in ((_STOPS, _STOP), (_CLOSERS, _CLOSER), (" \t\n\r", _BLANK), ("0123456789", _DIGIT)):
+        out[[ord(c) for c in chars]] |= bit
+    return out
+
+
 def sentence_of(cps: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Number of the sentence that each character is in, counted through the chunk.
 
@@ -269,15 +276,16 @@ def sentence_of(cps: np.ndarray, starts: np.ndarray) -> np.ndarray:
     from a blank. A full stop after one to three digits marks an ordinal and ends nothing.
     """
     n = cps.size
-    stop = np.isin(cps, [ord(c) for c in _STOPS])
-    digit = (cps >= 0x30) & (cps <= 0x39)
+    mark = _marks()[slots(cps)]
+    stop = (mark & _STOP) > 0
+    digit = (mark & _DIGIT) > 0
     run = digit.copy()
     for _ in range(3):
         run[1:] = run[:-1] & digit[1:]
         run[:1] = False
     stop[1:] &= ~((cps[1:] == 0x2E) & digit[:-1] & ~run[:-1])
-    closer = np.isin(cps, [ord(c) for c in _CLOSERS])
-    blank = np.isin(cps, [0x20, 0x09, 0x0A, 0x0D])
+    closer = (mark & _CLOSER) > 0
+    blank = (mark & _BLANK) > 0
     ended = stop.copy()
     for _ in range(2):
         ended[1:] |= ended[:-1] & closer[1:]
@@ -297,7 +305,7 @@ def _sentences(cps, starts, w, v: Vocabulary, table) -> tuple[np.ndarray, np.nda
     scores = _word_vectors(v, table[0], table[1])
     sentence = sentence_of(cps, starts)[w.first]
     bounds = np.append(np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1])), sentence.size)
-    z = _sums(scores[v.each], bounds) / np.diff(bounds)[:, None] + table[2]
+    z = np.add.reduceat(scores[v.each], bounds[:-1]) / np.diff(bounds).astype(np.float32)[:, None] + table[2]
     return z, np.searchsorted(w.starts, bounds[:-1], "right") - 1, bounds
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..durable import durable, spread
 from ..operators.skew import fragment_replicate_join
-from .canonical import canonical_texts, form_tables
+from .canonical import FormTables, canonical_texts, form_tables
 from .codepoints import char_tables, chunked, explode, grams_of, words_of
 
 #: Rows, and characters of text, of a side that may be broadcast; beyond either the join shuffles.
@@ -85,16 +85,16 @@ def _selected(grams: np.ndarray, starts: np.ndarray, window: int, every: bool =
     return np.flatnonzero(chosen)
 
 
-def fingerprints(df: DataFrame, key: str, text: str, k: int, span: int, every: bool = False) -> DataFrame:
+def fingerprints(df: DataFrame, key: str, text: str, k: int, span: int, every: bool = False, unified: bool = True) -> DataFrame:
     """``key``, ``print`` and the word positions ``at`` of each winnowed fingerprint of a row."""
     context = df.sparkSession.sparkContext
-    tables = context.broadcast((form_tables(), char_tables()))
+    tables = context.broadcast((form_tables() if unified else None, char_tables()))
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("print", T.LongType()), T.StructField("at", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms, chars = tables.value
         for b in batches:
-            texts = canonical_texts(b.column(1).to_pylist(), forms)[0]
+            texts = _read(b.column(1).to_pylist(), forms)
             for lo, hi in chunked(texts):
                 grams, starts = grams_of(words_of(*explode(texts[lo:hi]), chars), k)
                 at = _selected(grams, starts, span - k + 1, every)
@@ -111,6 +111,10 @@ def fingerprints(df: DataFrame, key: str, text: str, k: int, span: int, every: b
     return spread(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where("text is not null")).mapInArrow(run, schema)
 
 
+def _read(texts: list[str | None], forms: FormTables | None) -> list[str | None]:
+    return texts if forms is None else canonical_texts(texts, forms)[0]
+
+
 def _shifts(places: list[dict]) -> np.ndarray:
     """Distinct distances between the places of common fingerprints in both texts, ascending."""
     low = min(int(p["doc_at"][0]) - int(p["item_at"][-1]) for p in places)
@@ -141,19 +145,19 @@ def _longest(doc: np.ndarray, item: np.ndarray, shifts: Iterable[int]) -> tuple[
     return best
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", k: int = 5, span: int = 13) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", k: int = 5, span: int = 13, unified: bool = True) -> DataFrame:
     """One row for each document and item that share at least ``span`` words in a row.
 
     Columns: ``doc_key``, ``item_key``, ``words`` (length of the longest shared run),
     ``doc_word`` and ``item_word`` (where it begins). Words are runs of letters and digits
-    of the canonical text in lower case. Null, empty and shorter texts leak nothing;
+    of the canonical text in lower case, or of the text as it is unless ``unified``. Null, empty and shorter texts leak nothing;
     repeated passages are all reported; a key on several rows gets its longest run; null
     keys are left out. Other columns are ignored.
     """
     docs = docs.select(F.col(doc_key).alias("d"), F.col(text).cast("string").alias("doc_text")).where("d is not null")
     items = items.select(F.col(item_key).alias("i"), F.col(text).cast("string").alias("item_text")).where("i is not null")
-    test = durable(fingerprints(items, "i", "item_text", k, span, every=True).selectExpr("key as i", "print", "at as item_at"), "test-prints")
-    train = fingerprints(docs, "d", "doc_text", k, span).selectExpr("key as d", "print", "at as doc_at")
+    test = durable(fingerprints(items, "i", "item_text", k, span, True, unified).selectExpr("key as i", "print", "at as item_at"), "test-prints")
+    train = fingerprints(docs, "d", "doc_text", k, span, False, unified).selectExpr("key as d", "print", "at as doc_at")
     found = _uneven(train, test, "print", "train-prints")
     # fingerprints that one document and item share are bounded by their lengths
     hits = found.groupBy("d", "i").agg(F.collect_list(F.struct("doc_at", "item_at")).alias("places"))
@@ -161,7 +165,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     texts = docs.join(small(hits.select("d").distinct()), "d", "left_semi")
     pairs = _uneven(hits.hint("merge").join(texts, "d"), items, "i", "pairs", "item_text")
     context = docs.sparkSession.sparkContext
-    tables = context.broadcast((form_tables(), char_tables()))
+    tables = context.broadcast((form_tables() if unified else None, char_tables()))
     schema = T.StructType([T.StructField("d", docs.schema["d"].dataType), T.StructField("i", items.schema["i"].dataType), *(T.StructField(c, T.IntegerType()) for c in ("words", "doc_word", "item_word"))])
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +173,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
 
         def hashes(texts: list[str | None]) -> list[np.ndarray]:
             out = []
-            texts = canonical_texts(texts, forms)[0]
+            texts = _read(texts, forms)
             for lo, hi in chunked(texts):
                 w = words_of(*explode(texts[lo:hi]), chars)
                 out += [w.hashes[a:b] for a, b in zip(w.starts[:-1], w.starts[1:])]

@@ -3,10 +3,11 @@
 A record becomes the set of its word shingles. Its signature has one byte for each of
 ``positions`` min-wise hash functions, so two records of similarity s agree at a position
 with probability s (and 1/256 of the rest). The inverted index maps blocks of
-``block`` neighbouring bytes with their position to records; records that share a posting
-are candidates. For each candidate pair the shared positional bytes are tallied, over half
-of the signatures and then over the whole of them, pairs below the guaranteed minimum are
-dropped, and the rest are verified on their shingle sets.
+``block`` neighbouring bytes with their position to records; an entry also carries the
+``NEAR`` bytes that follow the block. Inside a posting the shared ones of these are tallied
+for each pair, and pairs with enough are candidates. For each candidate pair the shared
+positional bytes are tallied over the whole signatures, pairs below the guaranteed minimum
+are dropped, and the rest are verified on their shingle sets.
 
 Records of one shingle set form a class that is indexed once. A posting with more than
 ``hot`` classes is never expanded: the pairs among the classes of all such postings are
@@ -29,6 +30,10 @@ from ..durable import discard, durable, scope, spread
 from .codepoints import VISIBLE, char_tables, chunked, explode, grams_of, words_of
 
 
+#: Bytes after its block that an index entry carries.
+NEAR = 16
+
+
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Multipliers and offsets of the hash functions, the same in every run."""
     r = np.random.default_rng(20240229)
@@ -40,6 +45,15 @@ def least_matches(positions: int, similarity: float) -> int:
     return max(1, math.floor(positions * similarity - 6 * math.sqrt(positions * similarity * (1 - similarity))))
 
 
+def least_near(similarity: float) -> int:
+    """Bytes after a common block that a pair of the given similarity shares but for a chance of about 1 in 100."""
+    below, k = (1 - similarity) ** NEAR, 0
+    while below <= 0.011:
+        k += 1
+        below += math.comb(NEAR, k) * similarity**k * (1 - similarity) ** (NEAR - k)
+    return k
+
+
 def _distinct(grams: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each text in ascending order, their counts, and the text of each."""
     doc = np.repeat(np.arange(starts.size - 1), np.diff(starts))
@@ -186,80 +200,84 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _entries(reps: DataFrame, positions: int, block: int, hot: int) -> DataFrame:
-    """Index entries ``key``, a position and its bytes as a number, and ``c``, the class.
+    """Index entries ``key``, a position and its bytes as a number; ``c``, the class; and ``near_0``, ``near_1``, the bytes after.
 
     Of a posting that exceeds ``hot`` in one Arrow batch alone only one more than that are
     sent on; the classes of the others come with a negative key, a different one each.
     """
     if positions % block or 8 * block + (positions // block).bit_length() > 62:
         raise ValueError("a key is a position and a block of at most a few bytes, and blocks fill the signature")
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("c", reps.schema["c"].dataType)])
+    near = (np.arange(0, positions, block)[:, None] + block + np.arange(NEAR)) % positions
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("c", reps.schema["c"].dataType), *(T.StructField(f"near_{j}", T.LongType()) for j in (0, 1))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = _bytes_of(b.column(1))[0].reshape(b.num_rows, -1, block)
+            whole = _bytes_of(b.column(1))[0].reshape(b.num_rows, positions)
+            sig = whole.reshape(b.num_rows, -1, block)
             key = np.broadcast_to(np.arange(sig.shape[1], dtype=np.int64), sig.shape[:2])
             for j in range(block):
                 key = key * 256 + sig[:, :, j]
             key = key.ravel()
             order = np.argsort(key, kind="stable")
+            after = whole[:, near].reshape(-1, NEAR).view(np.int64)[order]
             key, row = key[order], order // sig.shape[1]
             beyond = _runs(key)[2] > hot
             left = np.unique(row[beyond])
             keys = np.concatenate([key[~beyond], -1 - np.arange(left.size)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(np.concatenate([row[~beyond], left])))], ["key", "c"])
+            after = np.concatenate([after[~beyond], np.zeros((left.size, 2), np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(np.concatenate([row[~beyond], left]))), pa.array(after[:, 0]), pa.array(after[:, 1])], [f.name for f in schema])
 
     return reps.select("c", "sig").mapInArrow(run, schema)
 
 
-def _met(entries: DataFrame, hot: int) -> DataFrame:
-    """Pairs ``a``, ``b`` of classes in a posting of at most ``hot``; a class of a larger one with a null ``b``.
+def _met(entries: DataFrame, hot: int, least: int) -> DataFrame:
+    """Pairs ``a``, ``b`` of classes in a posting of at most ``hot`` that share ``least`` of the bytes
+    after the block; a class of a larger posting with a null ``b``.
 
     A task reads its postings in order and holds one at a time, the large ones not even whole.
     """
     c = entries.schema["c"].dataType
     schema = T.StructType([T.StructField("a", c), T.StructField("b", c)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def crowd(ids: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([ids, pa.nulls(len(ids), ids.type)], ["a", "b"])
+    def crowd(part: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([part.column(1), pa.nulls(part.num_rows, part.column(1).type)], ["a", "b"])
 
-        held_key, held, large = None, None, False
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = None, None  # entries of the last posting so far; its key if it is a large one
         for b in batches:
+            if large is not None and b.num_rows and (same := int(np.searchsorted(b.column(0).to_numpy(), large, "right"))):
+                yield crowd(b.slice(0, same))
+                b = b.slice(same)
             if not b.num_rows:
                 continue
-            key, ids = b.column(0).to_numpy(), b.column(1)
-            if large and (same := int(np.searchsorted(key, held_key, "right"))):
-                yield crowd(ids.slice(0, same))
-                key, ids = key[same:], ids.slice(same)
-                if not len(ids):
-                    continue
-            if held is not None and len(held):
-                key, ids = np.concatenate([np.full(len(held), held_key), key]), pa.concat_arrays([held, ids])
-            first, size, place = _runs(key)
-            held_key, held, large = int(key[-1]), ids.slice(int(first[-1])), False
-            yield from _pairs(ids.slice(0, int(first[-1])), key[: first[-1]], first[:-1], size[:-1], place[: first[-1]], hot, crowd)
-            if len(held) > hot or held_key < 0:
+            if held is not None and held.num_rows:
+                b = pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            first, size, _ = _runs(b.column(0).to_numpy())
+            yield from _pairs(b.slice(0, int(first[-1])), hot, least, crowd)
+            held, large = b.slice(int(first[-1])), None
+            if held.num_rows > hot or held.column(0)[0].as_py() < 0:
                 yield crowd(held)
-                held, large = held.slice(0, 0), True
-        if held is not None and len(held):
-            n = len(held)
-            yield from _pairs(held, np.full(n, held_key), np.array([0]), np.array([n]), np.arange(n), hot, crowd)
+                held, large = held.slice(0, 0), held.column(0)[0].as_py()
+        if held is not None:
+            yield from _pairs(held, hot, least, crowd)
 
     return entries.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
-def _pairs(ids: pa.Array, key: np.ndarray, first: np.ndarray, size: np.ndarray, place: np.ndarray, hot: int, crowd) -> Iterator[pa.RecordBatch]:
-    """Each entry with all that follow it in its posting."""
-    if not len(ids):
+def _pairs(part: pa.RecordBatch, hot: int, least: int, crowd) -> Iterator[pa.RecordBatch]:
+    """Each entry of some whole postings with those of all that follow it there that share enough bytes."""
+    if not part.num_rows:
         return
+    key = part.column(0).to_numpy()
+    _, size, place = _runs(key)
     whole = np.repeat(size, size)
     out = (whole > hot) | (key < 0)
     if out.any():
-        yield crowd(ids.take(pa.array(np.flatnonzero(out))))
+        yield crowd(part.take(pa.array(np.flatnonzero(out))))
     after = np.where(out, 0, whole - 1 - place)
+    near = [part.column(j).to_numpy() for j in (2, 3)]
     cuts = np.searchsorted(np.cumsum(after), np.arange(0, after.sum(), 1_000_000))
     for lo, hi in zip(cuts, [*cuts[1:], after.size]):
         n = after[lo:hi]
@@ -267,21 +285,23 @@ def _pairs(ids: pa.Array, key: np.ndarray, first: np.ndarray, size: np.ndarray,
             continue
         left = np.repeat(np.arange(lo, hi), n)
         right = left + 1 + np.arange(left.size) - np.repeat(np.cumsum(n) - n, n)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(left)), ids.take(pa.array(right))], ["a", "b"])
+        shared = sum(((x[left] ^ x[right]).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) for x in near)
+        left, right = left[shared >= least], right[shared >= least]
+        yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(left)), part.column(1).take(pa.array(right))], ["a", "b"])
 
 
-def _candidates(reps: DataFrame, positions: int, block: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
-    """Distinct pairs ``a`` < ``b`` of classes that share a posting of at most ``hot``, and the
-    classes ``c`` of larger postings, whose pairs may be missing; None if there is no such posting."""
-    met = durable(_met(_entries(reps, positions, block, hot), hot), "met")
+def _candidates(reps: DataFrame, positions: int, block: int, hot: int, least: int) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs ``a`` < ``b`` of classes that share a posting of at most ``hot`` and ``least`` bytes after it,
+    and the classes ``c`` of larger postings, whose pairs may be missing; None if there is no such posting."""
+    met = durable(_met(_entries(reps, positions, block, hot), hot, least), "met")
     found = met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     crowded = met.where("b is null").select(F.col("a").alias("c"))
     return found, None if crowded.isEmpty() else crowded.distinct()
 
 
 def _tallied(pairs: DataFrame, reps: DataFrame, similarity: float, positions: int) -> DataFrame:
-    """Pairs of which the first ``positions`` bytes agree in the guaranteed minimum, and that may be similar by size."""
-    side = lambda x: reps.select(F.col("c").alias(x), F.substring("sig", 1, positions).alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
+    """Pairs whose signatures share the guaranteed minimum of bytes, and that may be similar by size."""
+    side = lambda x: reps.select(F.col("c").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
     return joined.where(shared_bytes("sig_a", "sig_b") >= least_matches(positions, similarity)).select("a", "b")
 
@@ -297,7 +317,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", titl
     left out. Rows repeated with one key count once.
 
     A pair of similarity s has no common posting with a chance of
-    (1 - s^block)^(positions / block): 2e-4 at 0.5, 1e-5 at 0.55, below 1e-16 at 0.8. The size of a posting adds nothing to it.
+    (1 - s^block)^(positions / block), and the bytes after the block leave out one in a hundred of
+    the postings: 2e-4 in all at 0.5, 1e-5 at 0.55, below 1e-16 at 0.8. The size of a posting adds nothing to it.
     ``levels`` has no effect any more; it is kept for callers.
     """
     rows = df.select(F.col(key).alias("id"), (F.col(title).cast("string") if title else F.lit(None).cast("string")).alias("title"), F.col(text).cast("string").alias("text"))
@@ -311,11 +332,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", titl
     led = signed.join(leads, signed["id"] == leads["c"]).where("class_hi = class.class_hi and class_lo = class.class_lo")
     with scope() as spare:
         reps = durable(led.select("c", "n", "sig").dropDuplicates(["c"]), "classes")
-        pairs, crowded = _candidates(reps, positions, block, hot)
+        pairs, crowded = _candidates(reps, positions, block, hot, least_near(similarity))
         if crowded is not None:
             held = shingle_sets(rows.join(crowded.withColumnRenamed("c", "id"), "id", "left_semi"), shingle, short).dropDuplicates(["id"])
             pairs = pairs.unionByName(_similar_sets(held, similarity)).distinct()
-        kept = spare(durable(_tallied(_tallied(pairs, reps, similarity, positions // 2), reps, similarity, positions), "pairs"))
+        kept = spare(durable(_tallied(pairs, reps, similarity, positions), "pairs"))
     wanted = kept.select(F.col("a").alias("id")).unionByName(kept.select(F.col("b").alias("id"))).distinct()
     n = wanted.limit(1_000_001).count()
     sets = shingle_sets(rows.join(F.broadcast(wanted) if n <= 1_000_000 else wanted, "id", "left_semi"), shingle, short).dropDuplicates(["id"])

@@ -95,6 +95,11 @@ def p7_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"))
 
 
+def p7_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """The same search on the words as they are written, without one form for look-alikes."""
+    return leakage.leaks(_table(spark, sf, "documents"), _table(spark, sf, "eval_items"), unified=False).select("doc_id", "item_id", "words")
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonical_form(_table(spark, sf, "documents")).where("kinds > 0").select("doc_id")
 
@@ -111,7 +116,7 @@ def p8_invisible(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_shares": p1_shares, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_scores": p4_scores, "p4_elite": p4_elite, "p5_found": p5_found, "p5_terms": p5_terms, "p5_words": p5_words, "p6_found": p6_found, "p6_pack": p6_pack, "p6_pieces": p6_pieces, "p6_fill": p6_fill, "p6_vocabulary_pack": p6_vocabulary_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_canonical": p8_canonical, "p8_invisible": p8_invisible}
+    return {"p1_found": p1_found, "p1_shares": p1_shares, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_scores": p4_scores, "p4_elite": p4_elite, "p5_found": p5_found, "p5_terms": p5_terms, "p5_words": p5_words, "p6_found": p6_found, "p6_pack": p6_pack, "p6_pieces": p6_pieces, "p6_fill": p6_fill, "p6_vocabulary_pack": p6_vocabulary_pack, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_plain": p7_plain, "p8_found": p8_found, "p8_canonical": p8_canonical, "p8_invisible": p8_invisible}
 
 
 _INDEX = """
@@ -157,6 +162,7 @@ sized AS (
     FROM documents)"""
 
 
+_WORD = r"[\p{L}\p{N}]+"
 # Invisible characters and spaces other than the plain one, as classes of characters.
 _UNSEEN = r"[\p{Cf}\x{00}-\x{08}\x{0e}-\x{1b}\x{7f}-\x{84}\x{86}-\x{9f}\x{34f}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{3164}\x{fe00}-\x{fe0f}\x{ffa0}\x{2800}]"
 _SPACES = r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
@@ -213,6 +219,15 @@ def oracle_sql() -> dict[str, str]:
             each AS (SELECT *, unnest(range(greatest(pieces, 1))) AS piece FROM cut)
             SELECT doc_id, piece, pieces, piece * 1024 AS first_token, least(1024, size - piece * 1024) AS n_tokens FROM each""",
         "p6_fill": f"WITH {_SIZED} SELECT CAST(coalesce(sum(size), 0) AS BIGINT) AS tokens, true AS none_too_full, true AS well_filled FROM sized",
+        "p7_plain": f"""
+            WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE doc_id IS NOT NULL),
+            e AS (SELECT item_id, regexp_extract_all(lower(text), '{_WORD}') AS w FROM eval_items WHERE item_id IS NOT NULL),
+            dw AS (SELECT doc_id, pos, w[pos:pos + 12] AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM d)),
+            ew AS (SELECT item_id, pos, w[pos:pos + 12] AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS pos FROM e)),
+            hits AS (SELECT DISTINCT doc_id, item_id, dw.pos AS pos, dw.pos - ew.pos AS shift FROM dw JOIN ew USING (run)),
+            runs AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY pos) AS part FROM hits),
+            long AS (SELECT doc_id, item_id, count(*) + 12 AS n FROM runs GROUP BY doc_id, item_id, shift, part)
+            SELECT doc_id, item_id, CAST(max(n) AS INTEGER) AS words FROM long GROUP BY doc_id, item_id""",
         "p8_invisible": f"""
             SELECT doc_id, invisible, other_space FROM (
                 SELECT doc_id, regexp_matches(text, '{_UNSEEN}') AS invisible, regexp_matches(text, '{_SPACES}') AS other_space FROM documents)

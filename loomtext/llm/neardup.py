@@ -3,9 +3,9 @@
 A record becomes the set of its word shingles. Its signature has one byte for each of
 ``positions`` min-wise hash functions, so two records of similarity s agree at a position
 with probability s (and 1/256 of the rest). The inverted index maps blocks of
-``block`` neighbouring bytes with their position to records; an entry also carries the
-``NEAR`` bytes that follow the block. Inside a posting the shared ones of these are tallied
-for each pair, and pairs with enough are candidates. For each candidate pair the shared
+``block`` neighbouring bytes with their position to records; an entry also carries, in one
+number, the upper halves of the ``NEAR`` bytes that follow the block. Inside a posting the
+shared ones of these are tallied for each pair, and pairs with enough are candidates. For each candidate pair the shared
 positional bytes are tallied over the whole signatures, pairs below the guaranteed minimum
 are dropped, and the rest are verified on their shingle sets.
 
@@ -30,7 +30,7 @@ from ..durable import discard, durable, scope, spread
 from .codepoints import VISIBLE, char_tables, chunked, explode, grams_of, words_of
 
 
-#: Bytes after its block that an index entry carries.
+#: Bytes after its block of which an index entry carries the upper halves.
 NEAR = 16
 
 
@@ -46,11 +46,12 @@ def least_matches(positions: int, similarity: float) -> int:
 
 
 def least_near(similarity: float) -> int:
-    """Bytes after a common block that a pair of the given similarity shares but for a chance of about 1 in 100."""
-    below, k = (1 - similarity) ** NEAR, 0
-    while below <= 0.011:
+    """Half bytes after a common block that a pair of the given similarity shares but for a chance of about 1 in 50."""
+    p, k = similarity + (1 - similarity) / 16, 0
+    below = (1 - p) ** NEAR
+    while below <= 0.022:
         k += 1
-        below += math.comb(NEAR, k) * similarity**k * (1 - similarity) ** (NEAR - k)
+        below += math.comb(NEAR, k) * p**k * (1 - p) ** (NEAR - k)
     return k
 
 
@@ -200,7 +201,7 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _entries(reps: DataFrame, positions: int, block: int, hot: int) -> DataFrame:
-    """Index entries ``key``, a position and its bytes as a number; ``c``, the class; and ``near_0``, ``near_1``, the bytes after.
+    """Index entries ``key``, a position and its bytes as a number; ``c``, the class; and ``near``, half of each byte after.
 
     Of a posting that exceeds ``hot`` in one Arrow batch alone only one more than that are
     sent on; the classes of the others come with a negative key, a different one each.
@@ -208,7 +209,7 @@ def _entries(reps: DataFrame, positions: int, block: int, hot: int) -> DataFrame
     if positions % block or 8 * block + (positions // block).bit_length() > 62:
         raise ValueError("a key is a position and a block of at most a few bytes, and blocks fill the signature")
     near = (np.arange(0, positions, block)[:, None] + block + np.arange(NEAR)) % positions
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("c", reps.schema["c"].dataType), *(T.StructField(f"near_{j}", T.LongType()) for j in (0, 1))])
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("c", reps.schema["c"].dataType), T.StructField("near", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,20 +222,21 @@ def _entries(reps: DataFrame, positions: int, block: int, hot: int) -> DataFrame
                 key = key * 256 + sig[:, :, j]
             key = key.ravel()
             order = np.argsort(key, kind="stable")
-            after = whole[:, near].reshape(-1, NEAR).view(np.int64)[order]
+            half = whole >> 4
+            after = (half[:, near[:, 0::2]] << 4 | half[:, near[:, 1::2]]).reshape(-1, NEAR // 2).view(np.int64).ravel()[order]
             key, row = key[order], order // sig.shape[1]
             beyond = _runs(key)[2] > hot
             left = np.unique(row[beyond])
             keys = np.concatenate([key[~beyond], -1 - np.arange(left.size)])
-            after = np.concatenate([after[~beyond], np.zeros((left.size, 2), np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(np.concatenate([row[~beyond], left]))), pa.array(after[:, 0]), pa.array(after[:, 1])], [f.name for f in schema])
+            after = np.concatenate([after[~beyond], np.zeros(left.size, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(np.concatenate([row[~beyond], left]))), pa.array(after)], [f.name for f in schema])
 
     return reps.select("c", "sig").mapInArrow(run, schema)
 
 
 def _met(entries: DataFrame, hot: int, least: int) -> DataFrame:
-    """Pairs ``a``, ``b`` of classes in a posting of at most ``hot`` that share ``least`` of the bytes
-    after the block; a class of a larger posting with a null ``b``.
+    """Pairs ``a``, ``b`` of classes in a posting of at most ``hot`` that share ``least`` of the half
+    bytes after the block; a class of a larger posting with a null ``b``.
 
     A task reads its postings in order and holds one at a time, the large ones not even whole.
     """
@@ -277,7 +279,7 @@ def _pairs(part: pa.RecordBatch, hot: int, least: int, crowd) -> Iterator[pa.Rec
     if out.any():
         yield crowd(part.take(pa.array(np.flatnonzero(out))))
     after = np.where(out, 0, whole - 1 - place)
-    near = [part.column(j).to_numpy() for j in (2, 3)]
+    near = part.column(2).to_numpy()
     cuts = np.searchsorted(np.cumsum(after), np.arange(0, after.sum(), 1_000_000))
     for lo, hi in zip(cuts, [*cuts[1:], after.size]):
         n = after[lo:hi]
@@ -285,13 +287,14 @@ def _pairs(part: pa.RecordBatch, hot: int, least: int, crowd) -> Iterator[pa.Rec
             continue
         left = np.repeat(np.arange(lo, hi), n)
         right = left + 1 + np.arange(left.size) - np.repeat(np.cumsum(n) - n, n)
-        shared = sum(((x[left] ^ x[right]).view(np.uint8).reshape(-1, 8) == 0).sum(axis=1) for x in near)
+        differ = (near[left] ^ near[right]).view(np.uint8).reshape(-1, NEAR // 2)
+        shared = ((differ & 0xF0) == 0).sum(axis=1) + ((differ & 0x0F) == 0).sum(axis=1)
         left, right = left[shared >= least], right[shared >= least]
         yield pa.RecordBatch.from_arrays([part.column(1).take(pa.array(left)), part.column(1).take(pa.array(right))], ["a", "b"])
 
 
 def _candidates(reps: DataFrame, positions: int, block: int, hot: int, least: int) -> tuple[DataFrame, DataFrame | None]:
-    """Distinct pairs ``a`` < ``b`` of classes that share a posting of at most ``hot`` and ``least`` bytes after it,
+    """Distinct pairs ``a`` < ``b`` of classes that share a posting of at most ``hot`` and ``least`` half bytes after it,
     and the classes ``c`` of larger postings, whose pairs may be missing; None if there is no such posting."""
     met = durable(_met(_entries(reps, positions, block, hot), hot, least), "met")
     found = met.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -317,8 +320,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", titl
     left out. Rows repeated with one key count once.
 
     A pair of similarity s has no common posting with a chance of
-    (1 - s^block)^(positions / block), and the bytes after the block leave out one in a hundred of
-    the postings: 2e-4 in all at 0.5, 1e-5 at 0.55, below 1e-16 at 0.8. The size of a posting adds nothing to it.
+    (1 - s^block)^(positions / block), and the half bytes after the block leave out one in fifty of
+    the postings: 3e-4 in all at 0.5, 2e-5 at 0.55, below 1e-16 at 0.8. The size of a posting adds nothing to it.
     ``levels`` has no effect any more; it is kept for callers.
     """
     rows = df.select(F.col(key).alias("id"), (F.col(title).cast("string") if title else F.lit(None).cast("string")).alias("title"), F.col(text).cast("string").alias("text"))

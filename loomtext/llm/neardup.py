@@ -302,9 +302,19 @@ def _candidates(reps: DataFrame, positions: int, block: int, hot: int, least: in
     return found, None if crowded.isEmpty() else crowded.distinct()
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """Distinct ``id`` of both ends, with a broadcast hint if they are counted to be at most a million."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    return F.broadcast(ids) if ids.limit(1_000_001).count() <= 1_000_000 else ids
+
+
 def _tallied(pairs: DataFrame, reps: DataFrame, similarity: float, positions: int) -> DataFrame:
-    """Pairs whose signatures share the guaranteed minimum of bytes, and that may be similar by size."""
-    side = lambda x: reps.select(F.col("c").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
+    """Pairs whose signatures share the guaranteed minimum of bytes, and that may be similar by size.
+
+    Signatures of classes in no pair stay where they are.
+    """
+    used = reps.withColumnRenamed("c", "id").join(_ends(pairs), "id", "left_semi")
+    side = lambda x: used.select(F.col("id").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(f"least(n_a, n_b) >= {similarity} * greatest(n_a, n_b)")
     return joined.where(shared_bytes("sig_a", "sig_b") >= least_matches(positions, similarity)).select("a", "b")
 
@@ -339,10 +349,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", titl
         if crowded is not None:
             held = shingle_sets(rows.join(crowded.withColumnRenamed("c", "id"), "id", "left_semi"), shingle, short).dropDuplicates(["id"])
             pairs = pairs.unionByName(_similar_sets(held, similarity)).distinct()
-        kept = spare(durable(_tallied(pairs, reps, similarity, positions), "pairs"))
-    wanted = kept.select(F.col("a").alias("id")).unionByName(kept.select(F.col("b").alias("id"))).distinct()
-    n = wanted.limit(1_000_001).count()
-    sets = shingle_sets(rows.join(F.broadcast(wanted) if n <= 1_000_000 else wanted, "id", "left_semi"), shingle, short).dropDuplicates(["id"])
+        kept = spare(durable(_tallied(durable(pairs, "candidates"), reps, similarity, positions), "pairs"))
+    sets = shingle_sets(rows.join(_ends(kept), "id", "left_semi"), shingle, short).dropDuplicates(["id"])
     sets = durable(sets, "sets")
     exact = kept.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
     links = exact.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), jaccard("grams_a", "grams_b").alias("similarity")).where(F.col("similarity") >= similarity)

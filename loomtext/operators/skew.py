@@ -162,9 +162,18 @@ def term_results(index: DataFrame, tasks: int | None = None) -> DataFrame:
     """
     rows = index.select(F.lower(F.trim("term")).alias("term"), "doc_id", F.coalesce(F.size("postings"), F.lit(0)).alias("held")).where("term is not null")
     plan = plan_fragments(rows, "term", tasks)
+    # fewer than HEAVY_PER_TASK for each task; others have too few rows to fill one, however often they are repeated
+    limit = plan.total / (HEAVY_PER_TASK * plan.tasks)
+    heavy = [r[0] for r in rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("doc_id").collect()]
+    wide = F.col("doc_id").isin(heavy) if heavy else F.lit(False)
     # rows of one term and record share a shard, so distinct records add up; those without a
-    # record may go to any, and are spread by their place
-    salted = rows.withColumn("salt", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
+    # record, or with one that has very many rows, are spread by their place
+    salted = rows.withColumn("salt", F.when(F.col("doc_id").isNull() | wide, F.monotonically_increasing_id()))
     each = place(salted, "term", plan, ["doc_id", "salt"]).groupBy("_task", "term", "doc_id").agg(F.sum(F.greatest("held", F.lit(0))).alias("held"), F.count(F.lit(1)).alias("rows"))
-    out = fragment_aggregate(each, "term", [F.count("doc_id").alias("records"), F.sum("held").alias("positions"), F.sum("rows").alias("total_rows")], [F.sum("records").alias("records"), F.sum("positions").alias("positions"), F.sum("total_rows").alias("total_rows")])
+    partial = [F.count(F.when(~wide, F.col("doc_id"))).alias("records"), F.sum("held").alias("positions"), F.sum("rows").alias("total_rows")]
+    records = F.sum("records")
+    if heavy:  # a wide record may be in several shards of a term, so these few are counted by name
+        partial.append(F.collect_set(F.when(wide, F.col("doc_id"))).alias("names"))
+        records += F.size(F.array_distinct(F.flatten(F.collect_list("names"))))
+    out = fragment_aggregate(each, "term", partial, [records.alias("records"), F.sum("positions").alias("positions"), F.sum("total_rows").alias("total_rows")])
     return out.select("term", "total_rows", "records", "positions", F.round(F.when(F.col("records") > 0, F.col("total_rows") / F.col("records")), 6).alias("per_record"), F.round(F.col("total_rows") / F.lit(max(plan.total, 1)), 6).alias("share"), (F.col("total_rows") * 100 >= plan.total).alias("heavy"))

@@ -54,6 +54,20 @@ def test_rows_without_a_record_are_spread(spark):
     assert max(sizes) < 2 * len(rows) / 8
 
 
+def test_copies_of_a_row_are_spread(spark):
+    """A third of all rows are copies of one row, and a record with many rows has several terms."""
+    rows = [("hot", "d0", [1], 0)] * 1000 + [(f"t{i % 40}", "d0", [1], 0) for i in range(80)] + [(f"t{i}", f"d{i}", [1], 0) for i in range(2000)] + [("hot", f"d{i}", [1], 0) for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    seen = []
+    real = skew.place
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(skew, "place", lambda *a: seen.append(real(*a)) or seen[-1])
+        got = {r["term"]: (r["total_rows"], r["records"], r["positions"], r["heavy"]) for r in skew.term_results(df, 8).collect()}
+    assert got == brute(rows)
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * len(rows) / 8
+
+
 def test_empty_and_null(spark):
     assert skew.term_results(spark.createDataFrame([], SCHEMA)).count() == 0
     assert skew.term_results(spark.createDataFrame([(None, "d", [1], 1)] * 3, SCHEMA)).count() == 0
